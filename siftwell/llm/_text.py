@@ -25,6 +25,11 @@ SPACE_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM_WORD = np.zeros(256, dtype=bool)
 ALNUM_WORD[0x30:0x3A] = ALNUM_WORD[0x61:0x7B] = True
 ALNUM_WORD[0x80:] = True
+#: Words with their case, and runs of other marks, as tokens of two classes.
+WORD_OR_MARK = np.full(256, 2, np.uint8)
+WORD_OR_MARK[0x30:0x3A] = WORD_OR_MARK[0x41:0x5B] = WORD_OR_MARK[0x61:0x7B] = 1
+WORD_OR_MARK[0x80:] = 1
+WORD_OR_MARK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
 
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -79,18 +84,17 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.
 
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: np.ndarray = LOWER) -> Words:
-    """Maximal runs of bytes that `inside` marks; no run crosses two rows."""
+    """Maximal runs of bytes of one class above 0 in the table `inside`; no run crosses two rows."""
     data = fold[data]
     n = len(data)
-    mask = inside[data]
+    kind = inside.view(np.uint8)[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True
-    before = np.zeros(n, dtype=bool)
-    before[1:] = mask[:-1]
-    after = np.zeros(n, dtype=bool)
-    after[:-1] = mask[1:]
-    start = np.flatnonzero(mask & (~before | cut[:n]))
-    end = np.flatnonzero(mask & (~after | cut[1:])) + 1
+    change = np.ones(n + 1, dtype=bool)
+    change[1:n] = kind[1:] != kind[:-1]
+    change |= cut
+    start = np.flatnonzero((kind > 0) & change[:n])
+    end = np.flatnonzero((kind > 0) & change[1:]) + 1
     row = np.searchsorted(offsets, start, "right") - 1
     return Words(data, start, end, row, len(offsets) - 1)
 
@@ -154,3 +158,11 @@ def shingle_hashes(h: np.ndarray, row: np.ndarray, k: int, rows: int) -> tuple[n
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def find(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the sorted table, which of h are there)."""
+    if not len(table):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return at, table[at] == h

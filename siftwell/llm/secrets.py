@@ -98,6 +98,7 @@ def fit(samples: list[tuple[str, int]] | None = None, order: int = 2) -> tuple[n
 
 
 def _contexts(s: str, order: int) -> tuple[np.ndarray, np.ndarray]:
+    s = s.lower() if s.isupper() else s  # names in capitals are spelt as others
     code = _CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
     padded = np.concatenate([np.zeros(order, np.int64), code])
     context = np.zeros(len(code), np.int64)
