@@ -1,11 +1,77 @@
-"""A corpus pipeline: STAGES over documents, each stage's rows written and read again by the next."""
+"""A corpus pipeline: STAGES over documents, each stage's rows written as Parquet and read again by the next.
 
-STAGES = []
+toxicity      documents that the classifier rejects go
+simhash       one document of each group of near-duplicates stays, that with the smallest doc_id
+contamination documents that hold a benchmark item go
+secrets       spans found are replaced in the text (n_chars follows); all documents stay
+mixing        documents that the mix takes, with the number of copies
+
+All stages but the last return the columns of documents. Rows with a null doc_id pass the
+first stage by their score; in groups of near-duplicates they stay only where no row of the
+group has an id, then one of them does. Of rows with the same id in a group one stays.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siftwell.llm import decontamination, mixing, secrets, simhash, toxicity
+from siftwell.llm._spark import checkpoint_dir
+from siftwell.llm.queries import held_out
+
+#: SQL can't express the stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(~held_out(5, 0)))
+    return toxicity.score(docs, model, keep=docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(docs)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")).groupBy("kept_id").agg(F.min("kept_fp").alias("kept_fp"))
+    rows = docs.join(kept, docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
+    # a doc_id is one row's, but for rows that repeat
+    one = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    return rows.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    leaks = decontamination.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leaking")).distinct()
+    return docs.join(leaks, docs.doc_id.eqNullSafe(F.col("leaking")), "left_anti")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.max("size").alias("size"))
+    joined = docs.join(taken, docs.doc_id.eqNullSafe(F.col("id")) & docs.source.eqNullSafe(F.col("of")))
+    # copies of rows that share an id are dealt to them in turn
+    nth = F.row_number().over(Window.partitionBy("id", "of").orderBy(F.col("text").asc_nulls_last()))
+    copies = F.floor((F.col("copies") + F.col("rows") - nth) / F.col("rows")).cast("long")
+    return joined.withColumn("copies", copies).where("copies > 0").select(*docs.columns, "size", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("contamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("mixing", mix_sources),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs
