@@ -1 +1 @@
-
+"""The retrieval engine has no streaming operator: every ranking and score is over a bounded corpus."""
