@@ -76,18 +76,36 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_counting(each, "h"), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
+def arrays(df: DataFrame) -> list[np.ndarray]:
+    """The long columns of a result of bounded size, without an object for each row."""
+    found = df.toArrow()
+    return [np.asarray(found.column(i).to_numpy(), np.int64) for i in range(found.num_columns)]
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts(h, n) in as many of the upper bands of n as hold `most` rows at most; no rows are sorted."""
+    band = F.floor(F.log2("n") * 8).cast("int")
+    sizes, cut, held = dict(tuple(r) for r in counts.groupBy(band).count().collect()), 1 << 20, 0
+    for b in sorted(sizes, reverse=True):
+        held += sizes[b]
+        if held > most:
+            break
+        cut = b
+    return counts.where(band >= cut)
+
+
 class Hot:
     """The most frequent words: sorted hashes, their counts, and their ids in the neural vocabulary."""
 
-    def __init__(self, rows: list[tuple[int, int]], vocabulary: int):
-        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        h = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-        ids = np.full(len(rows), OTHER, np.int16)
+    def __init__(self, h: np.ndarray, n: np.ndarray, vocabulary: int):
+        first = np.lexsort((h, -n))
+        h, n = h[first].view(np.uint64), n[first]
+        ids = np.full(len(h), OTHER, np.int16)
         plain = np.flatnonzero(h != END_HASH)[: vocabulary - 3]
         ids[plain] = np.arange(len(plain)) + 3
         ids[h == END_HASH] = END
         order = np.argsort(h)
-        self.h, self.n, self.ids = h[order], np.array([r[1] for r in rows], np.int64)[order], ids[order]
+        self.h, self.n, self.ids = h[order], n[order], ids[order]
 
     def sequence(self, data: np.ndarray, offsets: np.ndarray):
         """Of the words and the end of each row in order: hashes, rows, ids, the two ids before, places in the table, and which are there."""
@@ -160,7 +178,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     texts = docs.where(training).select(F.col(text_col).alias("text"))
     counts = saved(word_counts(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    table = Hot([tuple(r) for r in counts.orderBy(F.desc("n"), "h").limit(hot).collect()], v)
+    table = Hot(*arrays(most_frequent(counts, hot).select("h", "n")), v)
     # words outside the neural vocabulary share the mass of their class by count + 1, and 1 for unseen ones
     inside = (table.ids != OTHER) | (table.h == END_HASH)
     tail = int(total + distinct - (table.n[inside] + 1).sum()) + 1
@@ -172,8 +190,9 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     triples = texts.mapInArrow(_counting(each, "code"), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     share = min(1.0, draws / total) if total else 1.0
     drawn = F.floor(F.col("n") * share + F.pmod(F.xxhash64("code", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)).cast("long")
-    rows = sorted(tuple(r) for r in triples.select("code", drawn.alias("n")).where("n > 0").collect())  # the draws' number bounds them
-    codes, n = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    codes, n = arrays(triples.select("code", drawn.alias("n")).where("n > 0"))  # the draws' number bounds them
+    order = np.argsort(codes)
+    codes, n = codes[order], n[order]
     after_one, after_two, bias, normaliser = (x.astype(np.float32) for x in train(codes, n, v, dim, epochs=epochs, seed=seed))
     log_count = np.log10(table.n + 1.0)
 
