@@ -104,6 +104,12 @@ def _shard(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     x = np.array(rows.unit.tolist(), float)
     place = {c: i for i, c in enumerate(rows.cls)}
     graph = [np.array(sorted({place[c] for c in links if c in place}), np.int64) for links in rows.links]
+    # edges count both ways: among equally near vectors some are nobody's nearest
+    back: list[list[int]] = [[] for _ in graph]
+    for i, g in enumerate(graph):
+        for j in g.tolist():
+            back[j].append(i)
+    graph = [np.union1d(g, np.array(r, np.int64)) for g, r in zip(graph, back, strict=True)]
     found = search(x, graph, least)
     found |= found.T
     np.fill_diagonal(found, False)
