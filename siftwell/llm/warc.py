@@ -5,7 +5,7 @@ folder that all executors share. Each attempt of a task writes files of its own,
 those that a finished task reports are read.
 
 The reader checks every record: the member must inflate with its checksum, begin with a
-version line, hold as many bytes as its header says, and match its payload digest. After a
+version line, hold as many bytes as its header says, and match its block and payload digests. After a
 failed check it searches for the next place where a valid member or, in plain archives, a
 valid record begins, goes on from there, and reports the bytes between as quarantined. It
 reads in chunks, so memory depends on the largest record.
@@ -67,7 +67,7 @@ def record_bytes(page: str, url: str, payload: bytes, refers_to: str | None, rev
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Date", date), ("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)), ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"), ("Content-Type", "application/http;msgtype=response")]
     if revisit:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
-    fields.append(("Content-Length", str(len(block))))
+    fields += [("WARC-Block-Digest", f"sha1:{digest_of(block)}"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -132,6 +132,8 @@ def _parse(raw: bytes, offset: int, length: int) -> Record | str:
     block = raw[stop + 4 : stop + 4 + int(f["content-length"])]
     if len(block) != int(f["content-length"]) or raw[stop + 4 + len(block) :] != b"\r\n\r\n":
         return "wrong content length"
+    if (said := f.get("warc-block-digest", "")).startswith("sha1:") and said[5:] != digest_of(block):
+        return "wrong block digest"
     http = block.find(b"\r\n\r\n") if block.startswith(b"HTTP/") else -4
     payload = block[http + 4 :]
     digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
