@@ -10,8 +10,9 @@ Pairs that meet in several shards count only in the first they share. Recall is
 bounded sample of classes against all rows by brute force; below `recall` the index is built
 again with more overlap.
 
-A shard returns counts and a spanning forest of its links, never its pairs. Oversize shards
-split by further pivots, so the shard's size bounds the memory of a task.
+A shard returns counts and a spanning forest of its links, never its pairs. A task holds one
+shard and the links found in it. Shards hold about `shard` classes while the pivots suffice,
+that is to MOST_PIVOTS * shard / 2 classes; beyond, they grow with the input.
 
 Rows whose label is null, and vectors that are null, zero, or hold null or non-finite
 components link with nothing, and are their own component (null if the id is null). Equal
@@ -62,61 +63,104 @@ def build(x: np.ndarray, degree: int = DEGREE, alpha: float = 1.2, block: int =
     return out
 
 
-def search(x: np.ndarray, graph: list[np.ndarray], least: float, beam: int = BEAM) -> np.ndarray:
-    """Boolean [n, n] of what greedy search from the medoid and range expansion find at `least` or above."""
+def _expand(at: np.ndarray, flat: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in `nodes`, neighbour) for every edge of every node."""
+    counts = at[nodes + 1] - at[nodes]
+    owner = np.repeat(np.arange(len(nodes)), counts)
+    return owner, flat[np.arange(len(owner)) + np.repeat(at[nodes] - np.cumsum(counts) + counts, counts)]
+
+
+def search(x: np.ndarray, graph: list[np.ndarray], least: float, beam: int = BEAM, block: int = 1024) -> np.ndarray:
+    """Codes (low * n + high) of the pairs at `least` or above that greedy search from the medoid and range expansion find.
+
+    Queries go in blocks; work and memory follow the nodes seen, but for one bit of `seen` a pair of a block.
+    """
     n = len(x)
-    width = max((len(g) for g in graph), default=0)
-    links = np.full((n, max(width, 1)), -1, np.int64)
-    for i, g in enumerate(graph):
-        links[i, : len(g)] = g
+    at = np.concatenate([[0], np.cumsum([len(g) for g in graph])]).astype(np.int64)
+    flat = np.concatenate([*graph, np.zeros(0, np.int64)]).astype(np.int64)
     medoid = int(np.argmax(x @ x.mean(0)))
-    seen, done = np.zeros((n, n), bool), np.zeros((n, n), bool)
-    sims = np.full((n, n), -2, np.float32)
-    every = np.arange(n)
-    seen[:, medoid] = True
-    sims[:, medoid] = x @ x[medoid]
-    # range expansion also starts at each member itself, whose place the graph holds
-    seen[every, every] = True
-    sims[every, every] = 1
-    active = every
-    while len(active):
-        own = np.where(done[active], -3, sims[active])
-        best = own.argmax(1)
-        value = own[np.arange(len(active)), best]
-        # the beam's edge: the beam-th best seen
-        edge = np.partition(sims[active], n - min(beam, n), axis=1)[:, n - min(beam, n)]
-        go = (value > -2) & ((value >= edge) | (value >= least))
-        active, best = active[go], best[go]
-        done[active, best] = True
-        next_ = links[best]
-        q, j = np.nonzero(next_ >= 0)
-        q, node = active[q], next_[q, j]
-        fresh = ~seen[q, node]
-        q, node = q[fresh], node[fresh]
-        seen[q, node] = True
-        sims[q, node] = np.einsum("ij,ij->i", x[q], x[node])
-    return sims >= least - 1e-4
+    near = least - 1e-4
+    out = []
+    for low in range(0, n, block):
+        m = min(block, n - low)
+        own = np.arange(m)
+        seen = np.zeros((m, n), bool)
+        seen[own, low + own] = seen[:, medoid] = True
+        ids, sims, done = np.full((m, beam), medoid), np.full((m, beam), -2, np.float32), np.ones((m, beam), bool)
+        sims[:, 0], done[:, 0] = x[low : low + m] @ x[medoid], False
+        # range expansion starts at each member itself, whose place the graph holds, and at what the search meets in range
+        met = [own * n + low + own, own[sims[:, 0] >= near] * n + medoid]
+        active = own
+        while len(active):
+            best = np.where(done[active], -3, sims[active]).argmax(1)
+            go = ~done[active, best]
+            active, best = active[go], best[go]
+            done[active, best] = True
+            owner, node = _expand(at, flat, ids[active, best])
+            q = active[owner]
+            fresh = ~seen[q, node]
+            q, node = q[fresh], node[fresh]
+            seen[q, node] = True
+            s = np.einsum("ij,ij->i", x[low + q], x[node])
+            met.append(q[s >= near] * n + node[s >= near])
+            order = np.lexsort((-s, q))
+            q, node, s = q[order], node[order], s[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            q, node, s, rank = (v[rank < beam] for v in (q, node, s, rank))
+            place = np.searchsorted(active, q)
+            wide = [np.concatenate([v[active], np.full((len(active), beam), fill, v.dtype)], 1) for v, fill in ((ids, medoid), (sims, -2), (done, True))]
+            for v, values in zip(wide, (node, s, False), strict=True):
+                v[place, beam + rank] = values
+            top = np.argsort(-wide[1], axis=1, kind="stable")[:, :beam]
+            ids[active], sims[active], done[active] = (np.take_along_axis(v, top, 1) for v in wide)
+        frontier = np.unique(np.concatenate(met))
+        found = [frontier]
+        while len(frontier):
+            nodes = frontier % n
+            pieces = np.cumsum(at[nodes + 1] - at[nodes]) >> 20
+            reached = []
+            for piece in np.split(frontier, np.flatnonzero(np.diff(pieces)) + 1):
+                owner, node = _expand(at, flat, piece % n)
+                q = (piece // n)[owner]
+                fresh = ~seen[q, node]
+                codes = np.unique(q[fresh] * n + node[fresh])
+                q, node = codes // n, codes % n
+                seen[q, node] = True
+                for i in range(0, len(codes), 65536):
+                    some = slice(i, i + 65536)
+                    reached.append(codes[some][np.einsum("ij,ij->i", x[low + q[some]], x[node[some]]) >= near])
+            frontier = np.concatenate([*reached, np.zeros(0, np.int64)])
+            found.append(frontier)
+        q, node = np.divmod(np.concatenate(found), n)
+        q += low
+        out.append((np.minimum(q, node) * n + np.maximum(q, node))[q != node])
+    return np.unique(np.concatenate([*out, np.zeros(0, np.int64)]))
 
 
 def _shard(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     """Links in one shard: a row for each member with its number of linked rows, and the least linked member."""
     rows = rows.sort_values("cls").reset_index(drop=True)
-    x = np.array(rows.unit.tolist(), float)
-    place = {c: i for i, c in enumerate(rows.cls)}
-    graph = [np.array(sorted({place[c] for c in links if c in place}), np.int64) for links in rows.links]
-    # edges count both ways: among equally near vectors some are nobody's nearest
-    back: list[list[int]] = [[] for _ in graph]
-    for i, g in enumerate(graph):
-        for j in g.tolist():
-            back[j].append(i)
-    graph = [np.union1d(g, np.array(r, np.int64)) for g, r in zip(graph, back, strict=True)]
-    found = search(x, graph, least)
-    found |= found.T
-    np.fill_diagonal(found, False)
-    a, b = np.nonzero(np.triu(found))
-    exact = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)]) >= least
-    a, b = a[exact], b[exact]
-    head = np.arange(len(x))
+    x, n = np.array(rows.unit.tolist(), float), len(rows)
+    ids = rows.cls.to_numpy()
+    # edges to members of this shard; they count both ways: among equally near vectors some are nobody's nearest
+    tail, edge = np.repeat(np.arange(n), [len(v) for v in rows.links]), np.concatenate([*rows.links, np.zeros(0, np.int64)]).astype(np.int64)
+    head = np.minimum(np.searchsorted(ids, edge), n - 1)
+    tail, head = tail[ids[head] == edge], head[ids[head] == edge]
+    tail, head = np.divmod(np.unique(np.concatenate([tail * n + head, head * n + tail])), n)
+    a, b = np.divmod(search(x.astype(np.float32), np.split(head, np.searchsorted(tail, np.arange(1, n))), least), n)
+    shard, size = rows.shard.iloc[0], rows["size"].to_numpy()
+    shards = np.full((n, max(map(len, rows.shards))), -1)
+    for i, own in enumerate(rows.shards):
+        shards[i, : len(own)] = own
+    exact, first = np.zeros(len(a), bool), np.zeros(len(a), bool)
+    for i in range(0, len(a), 65536):
+        some = slice(i, i + 65536)
+        exact[some] = np.einsum("ij,ij->i", x[a[some]], x[b[some]]) >= least
+        # whether no shard before this one has both
+        both = (shards[a[some]][:, :, None] == shards[b[some]][:, None, :]).any(2) & (shards[a[some]] >= 0)
+        first[some] = np.where(both, shards[a[some]], shard).min(1) == shard
+    a, b, first = a[exact], b[exact], first[exact]
+    head = np.arange(n)
     # a spanning forest: least reachable place by repeated minima
     while True:
         before = head.copy()
@@ -125,13 +169,8 @@ def _shard(rows: pd.DataFrame, least: float) -> pd.DataFrame:
         head = head[head]
         if (head == before).all():
             break
-    shard, shards, size = rows.shard.iloc[0], rows.shards.tolist(), rows["size"].to_numpy()
-    many = np.array([len(s) > 1 for s in shards])
-    first = np.ones(len(a), bool)
-    for i in np.flatnonzero(many[a] & many[b]):
-        first[i] = min(set(shards[a[i]]) & set(shards[b[i]])) == shard
-    n = np.bincount(a[first], size[b[first]], minlength=len(x)) + np.bincount(b[first], size[a[first]], minlength=len(x))
-    return pd.DataFrame({"cls": rows.cls, "n": n.astype(np.int64), "head": rows.cls.to_numpy()[head]})
+    linked = np.bincount(a[first], size[b[first]], minlength=n) + np.bincount(b[first], size[a[first]], minlength=n)
+    return pd.DataFrame({"cls": ids, "n": linked.astype(np.int64), "head": ids[head]})
 
 
 def _pivots(classes: DataFrame, shard: int, salt: int) -> dict:
