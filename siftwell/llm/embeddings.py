@@ -11,8 +11,8 @@ bounded sample of classes against all rows by brute force; below `recall` the in
 again with more overlap.
 
 A shard returns counts and a spanning forest of its links, never its pairs. A task holds one
-shard and the links found in it. Shards hold about `shard` classes while the pivots suffice,
-that is to MOST_PIVOTS * shard / 2 classes; beyond, they grow with the input.
+shard and the links found in it. Shards hold about overlap / 2 * `shard` classes while the
+pivots suffice, that is to MOST_PIVOTS * shard / 2 classes; beyond, they grow with the input.
 
 Rows whose label is null, and vectors that are null, zero, or hold null or non-finite
 components link with nothing, and are their own component (null if the id is null). Equal

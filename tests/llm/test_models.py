@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,27 @@ def test_decontamination(spark, odd):
     got = sorted((r.doc_id, r.item_id, r.n_item) for r in decontamination.contained(odd, items).collect())
     assert got == [(4, 3, 1), (4, 3, 1), (6, 1, 1), (6, 1, 3)]
     assert decontamination.contained(odd, items.limit(0)).count() == 0 and decontamination.contained(odd.limit(0), items).count() == 0
+
+
+def test_graph_search_equals_brute_force():
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(40, 16))
+    x = np.repeat(centres, 10, axis=0) + r.normal(size=(400, 16)) * r.choice([0.01, 0.1, 0.5], size=(400, 1))
+    x[100:200] = x[100] + r.normal(size=(100, 16)) * 0.01  # one large group
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = embeddings.build(x.astype(np.float32))
+    rows = pd.DataFrame({"cls": np.arange(400) * 7, "unit": list(x), "links": [a[a >= 0].astype(np.int64) * 7 for a in graph], "shard": 2, "shards": [[2]] * 200 + [[2, 0]] * 200, "size": r.integers(1, 4, 400)})
+    true = x @ x.T >= 0.98
+    np.fill_diagonal(true, False)
+    # pairs that meet in shard 0 too count there
+    counted = true.copy()
+    counted[200:, 200:] = False
+    got = embeddings._shard(rows.sample(frac=1, random_state=1), 0.98)
+    assert got.cls.tolist() == (np.arange(400) * 7).tolist()
+    assert got.n.tolist() == (counted @ rows["size"].to_numpy()).tolist()
+    least = np.arange(400)
+    for _ in range(400):
+        least = np.minimum(least, np.where(true, least[None, :], 400).min(1))
+    assert got["head"].tolist() == (least * 7).tolist()
+    one = embeddings._shard(rows.head(1), 0.98)
+    assert one.n.tolist() == [0] and one["head"].tolist() == [0]
