@@ -29,10 +29,24 @@ def bounded_count(text: Column, term: str) -> Column:
     return F.regexp_count(text, F.lit(rf"(?iU)(?<!\w)\Q{term}\E(?!\w)"))
 
 
+def folded(text: Column) -> Column:
+    """Text (null: empty) with the letters that fold to a-z as those."""
+    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\u017f\u212a", "abcdefghijklmnopqrstuvwxyzsk")
+
+
+def runs(text: Column) -> Column:
+    """The runs of letters a-z and digits of folded text, in order."""
+    return F.filter(F.split(folded(text), "[^a-z0-9]+"), lambda x: x != "")
+
+
+def places(low: Column, term: Column) -> Column:
+    """Non-overlapping places of a term in folded text."""
+    return ((F.octet_length(low) - F.octet_length(F.replace(low, term))) / F.octet_length(term)).cast("long")
+
+
 def substring_count(text: Column, term: Column) -> Column:
     """Non-overlapping places of a term anywhere, in either case."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return ((F.char_length(low) - F.char_length(F.replace(low, term))) / F.char_length(term)).cast("long")
+    return places(folded(text), term)
 
 
 def squeeze(text: Column) -> Column:

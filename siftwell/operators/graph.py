@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.operators.retrieval import top_k
+from siftwell.plans.lineage import saved
 
 #: Entity labels that are kept on both sides.
 WHITELIST = ["PERSON", "NORP", "FAC", "ORG", "GPE", "LOC", "PRODUCT", "EVENT", "WORK_OF_ART", "LAW", "LANGUAGE"]
@@ -37,14 +38,14 @@ def seeds(query_nodes: DataFrame, graph: DataFrame, specific: bool = True) -> Da
 
 
 def pagerank(inc: DataFrame, graph: DataFrame, seed: DataFrame, damping: float = 0.5, rounds: int = 50, tolerance: float = 1e-10, every: int = 5) -> DataFrame:
-    """(query_id, node, mass) after at most `rounds` steps; a query whose change is below the tolerance is frozen.
+    """(query_id, node, mass) after at most `rounds` steps; it ends once no query changes by the tolerance or more.
 
-    The lineage is cut in the checkpoint folder every few rounds where one is set.
+    A step names the rank before it several times, so each is cut in the checkpoint folder: plans don't grow with the rounds.
     """
-    shared = inc.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    rank, done = seed, None
+    inc, graph, seed = saved(inc), saved(graph.select("node", "df", "degree")), saved(seed)
+    rank = seed
     for i in range(rounds):
-        x = rank.join(graph.select("node", "df", "degree"), "node")
+        x = rank.join(graph, "node")
         walking = x.where("degree > 0").select("query_id", "node", (F.col("mass") / F.col("degree")).alias("x"), "df")
         dangling = x.groupBy("query_id").agg(F.sum(F.when(F.col("degree") > 0, 0.0).otherwise(F.col("mass"))).alias("lost"))
         by_doc = walking.join(inc, "node").groupBy("query_id", "doc_id").agg(F.sum("x").alias("s"))
@@ -52,11 +53,10 @@ def pagerank(inc: DataFrame, graph: DataFrame, seed: DataFrame, damping: float =
         back = walking.select("query_id", "node", (-F.col("df") * F.col("x")).alias("m"))
         restart = seed.join(dangling, "query_id").select("query_id", "node", (F.col("mass") * (1 - damping + damping * F.col("lost"))).alias("m"))
         moved = spread.unionAll(back).select("query_id", "node", (F.col("m") * damping).alias("m")).unionAll(restart)
-        new = moved.groupBy("query_id", "node").agg(F.sum("m").alias("mass"))
+        new = saved(moved.groupBy("query_id", "node").agg(F.sum("m").alias("mass")))
         total = new.groupBy("query_id").agg(F.sum("mass").alias("t"))
         new = new.join(total, "query_id").select("query_id", "node", (F.col("mass") / F.col("t")).alias("mass"))
         if tolerance and (i + 1) % every == 0:
-            new = new.checkpoint() if shared else new.persist()
             change = new.alias("a").join(rank.alias("b"), ["query_id", "node"], "full").groupBy("query_id").agg(F.sum(F.abs(F.coalesce("a.mass", F.lit(0.0)) - F.coalesce("b.mass", F.lit(0.0)))).alias("d"))
             if change.where(F.col("d") >= tolerance).isEmpty():
                 return new

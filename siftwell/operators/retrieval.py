@@ -80,8 +80,10 @@ def coordination_hits(docs: DataFrame, queries: DataFrame, bounded: bool = True)
         words = docs.select("doc_id", F.explode(T.unicode_words(F.col("text"))).alias("term")).join(distinct, "term", "left_semi")
         counts = words.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
     else:
-        # a substring has no key to join on: each document against each distinct term
-        counts = docs.select("doc_id", "text").crossJoin(distinct).select("doc_id", "term", T.substring_count(F.col("text"), F.col("term")).alias("n")).where("n > 0")
+        # a term stands within one run of letters and digits, so terms are sought in the distinct runs, not in the texts
+        runs = docs.select("doc_id", F.explode(T.runs(F.col("text"))).alias("run")).groupBy("doc_id", "run").agg(F.count("*").alias("n"))
+        inside = runs.select("run").distinct().crossJoin(distinct).where(F.contains("run", "term")).select("run", "term", T.places(F.col("run"), F.col("term")).alias("places"))
+        counts = runs.join(inside, "run").groupBy("doc_id", "term").agg(F.sum(F.col("n") * F.col("places")).alias("n"))
     return counts.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("matched"), F.sum("n").alias("total"))
 
 
