@@ -6,16 +6,18 @@ contamination documents that hold a benchmark item go
 secrets       spans found are replaced in the text (n_chars follows); all documents stay
 mixing        documents that the mix takes, with the number of copies
 
-All stages but the last return the columns of documents. Rows with a null doc_id pass the
-first stage by their score; in groups of near-duplicates they stay only where no row of the
-group has an id, then one of them does. Of rows with the same id in a group one stays.
+All stages but the last return the columns of documents; the last adds size, copies and taken, in
+place of columns of those names. Rows are told apart by doc_id and text, so null and repeated ids
+cost no clean document: each row passes or goes by its own text. Of rows equal in both one stays,
+that with the least other columns. A group of near-duplicates without any doc_id keeps the row
+with the least hash of its text.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm import decontamination, mixing, secrets, simhash, toxicity
@@ -32,18 +34,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=docs.columns)
 
 
+def _key() -> Column:
+    """A row's identity: rows without an id come last."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+
+
+def _is(docs: DataFrame, key: str) -> Column:
+    """Whether a row of docs has that key."""
+    return docs.doc_id.eqNullSafe(F.col(f"{key}.id")) & (F.xxhash64(docs.text) == F.col(f"{key}.hash"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")).groupBy("kept_id").agg(F.min("kept_fp").alias("kept_fp"))
-    rows = docs.join(kept, docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi")
-    # a doc_id is one row's, but for rows that repeat
-    one = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return rows.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*docs.columns)
+    found = simhash.near_duplicates(docs.select(_key().alias("key"), "text"), id_col="key")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_key")).distinct()
+    rows = docs.join(kept, _is(docs, "kept_key"), "left_semi")
+    # rows equal in id and text become one by a partial aggregate, however many there are
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = rows.groupBy(_key().alias("kept_key")).agg(F.any_value("text").alias("kept_text"), F.min(F.struct(*rest)).alias("rest"))
+    named = {"doc_id": F.col("kept_key.id"), "text": F.col("kept_text")}
+    return one.select(*[named.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontamination.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leaking")).distinct()
-    return docs.join(leaks, docs.doc_id.eqNullSafe(F.col("leaking")), "left_anti")
+    leaks = decontamination.contained(docs.select(_key().alias("key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="key")
+    return docs.join(leaks.select(F.col("doc_id").alias("leaking")).distinct(), _is(docs, "leaking"), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +65,14 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.max("size").alias("size"))
-    joined = docs.join(taken, docs.doc_id.eqNullSafe(F.col("id")) & docs.source.eqNullSafe(F.col("of")))
-    # copies of rows that share an id are dealt to them in turn
-    nth = F.row_number().over(Window.partitionBy("id", "of").orderBy(F.col("text").asc_nulls_last()))
-    copies = F.floor((F.col("copies") + F.col("rows") - nth) / F.col("rows")).cast("long")
-    return joined.withColumn("copies", copies).where("copies > 0").select(*docs.columns, "size", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    mixed = mixing.mix(docs.select(_key().alias("key"), "text", "source"), id_col="key").where("taken > 0")
+    taken = mixed.groupBy(F.col("doc_id").alias("key"), F.col("source").alias("of")).agg(F.struct(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.max("size").alias("size")).alias("mix"))
+    kept = [c for c in docs.columns if c not in ("size", "copies", "taken")]
+    joined = docs.join(taken, _is(docs, "key") & docs.source.eqNullSafe(F.col("of"))).select(*[docs[c] for c in kept], "mix")
+    # copies of rows that share id, text and source are dealt to them in turn
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", F.xxhash64("text")).orderBy(F.xxhash64(*kept)))
+    copies = F.floor((F.col("mix.copies") + F.col("mix.rows") - nth) / F.col("mix.rows")).cast("long")
+    return joined.withColumn("copies", copies).where("copies > 0").select(*kept, "mix.size", "copies", (F.col("mix.size") * F.col("copies")).alias("taken"))
 
 
 STAGES = [
