@@ -28,6 +28,23 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def looked_up(rows: DataFrame, known: DataFrame, key: str, n: str = "n", parts: int = 256) -> DataFrame:
+    """rows with the columns of `known`, which has each key once and the number `n` of rows that hold it; null where there is none.
+
+    At most `parts` keys hold as much as 1/parts of all rows: these are broadcast, so no task gets all
+    rows of a frequent key. Rows with a null key skip the join; all others are joined by key.
+    """
+    known = saved(known)
+    total = known.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    often = F.col(n) * parts >= total
+    few, many = known.where(often).drop(n), known.where(~often).drop(n)
+    there = rows.where(F.col(key).isNotNull())
+    found = there.join(F.broadcast(few), key)
+    rest = there.join(F.broadcast(few.select(key)), key, "left_anti").join(many, key, "left")
+    nothing = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in many.schema if f.name != key])
+    return found.unionByName(rest).unionByName(nothing)
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component) of every node in the undirected `edges` (a, b); component is the smallest node reachable.
 

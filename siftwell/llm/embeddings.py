@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._spark import components, saved
+from siftwell.llm._spark import components, looked_up, saved
 
 SHARD, DEGREE, BEAM = 1000, 24, 16
 #: Pivots of a label at most, and audited classes at most.
@@ -264,6 +264,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ends = saved(joined)
     heads = classes.join(ends, classes.cls == ends.node).groupBy("component").agg(F.min("least").alias("linked"))
     linked = ends.join(heads, "component").select(F.col("node").alias("cls"), "linked")
-    known = classes.join(counts, "cls", "left").join(linked, "cls", "left").select("cls", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("linked", "least").alias("component_id"))
-    out = rows.join(known, "cls", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    known = classes.join(counts, "cls", "left").join(linked, "cls", "left").select("cls", "size", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("linked", "least").alias("component_id"))
+    out = looked_up(rows, known, "cls", "size").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

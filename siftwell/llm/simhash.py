@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import _text as T
-from siftwell.llm._spark import components, saved
+from siftwell.llm._spark import components, looked_up, saved
 
 #: Distinct fingerprints in a bucket up to which it is joined with itself.
 BUCKET = 32
@@ -116,9 +116,9 @@ def links(fps: DataFrame, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, seed: int = 42, bits: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs; see the module's text for nulls, empty texts and ties."""
     each = saved(fingerprints(docs, id_col, text_col, k, seed))
-    classes = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     found = saved(components(links(classes.select("fp"), bits)))
     least = classes.join(found, classes.fp == found.node).groupBy("component").agg(F.min("least").alias("linked"))
     linked = found.join(least, "component").select(F.col("node").alias("fp"), "linked")
-    known = classes.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
-    return each.join(known, "fp", "left").select("doc_id", "fp", "component_id")
+    known = classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("linked", "least").alias("component_id"))
+    return looked_up(each, known, "fp").select("doc_id", "fp", "component_id")
