@@ -5,7 +5,8 @@ labelled random and one on strings labelled ordinary. A candidate token is a sec
 log-likelihood ratio for each character is above the threshold that best parts held-out
 labelled samples. The labelled samples are made here: random ones come from a seeded
 generator over usual key alphabets, ordinary ones are names joined from a list of common
-programming words in usual styles, and plain words.
+programming words in usual styles, and plain words: those words, and long ones joined from
+common words and affixes of four languages. Candidates of letters only are scored as all others.
 
 Null text is empty. Each input row gives one row, repeated rows and null ids too; offsets
 are code points, end exclusive. Overlaps between kinds are kept: kinds are scanned apart.
@@ -49,6 +50,14 @@ socket sort source stack start state static status storage store stream string s
 table target task template test text theme thread time title toggle token tool total trace track transaction transform tree type update upload
 url user util valid value vector version view visible wait warning watch weight widget width window worker wrapper write zone""".split()
 
+#: Common words and affixes of English, German, French and Spanish, of which long plain words are joined.
+PARTS = """able ac ach age al ally an and ant ar arch are as at ate ation auf aus aux be bei ber berg bio ch che chen chkeit chung com con counter cu de del
+der des di die dis down ed ein eit electro elle en ence end ent er erei ers ery es est et eur eux ever ex fahrt fer for ful ge gegen gen graph ha had haft
+heit her hood ic ich ie ient ier iert ification ig igkeit il ily im in ing inter ion ir is ish isch ism ist ity ive ization ize je keit kon la le
+les less lich los ly mal man mente ment mis mit nach ness nicht no non not of ologie ology on or oso ou ouse our out over pa para pf pour pre pro que qui ra
+re rement res sam sch schaft se sein ship sion son st stand straight sub sup super sur tele ten ter th that the thing ti tig tion to tor tra trans tz
+ul um un und under une ung up ur ver vor was weg with wissen y zer zu zug zung""".split()
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/=-"
 _CODE = np.full(256, 0, np.int64)
 for _i, _c in enumerate(ALPHABET):
@@ -64,8 +73,11 @@ def labelled(n: int = 4000, seed: int = 5) -> list[tuple[str, int]]:
     for i in range(n):
         out.append(("".join(r.choices(keys[i % len(keys)], k=r.randint(16, 48))), 1))
         words = r.choices(COMMON, k=r.randint(3, 6))
-        style = i % 6
-        name = ["_".join(words), words[0] + "".join(w.title() for w in words[1:]), "-".join(words), "_".join(words).upper(), "/".join(words), "".join(words)][style]
+        prose = ""
+        while len(prose) < 16:
+            prose += r.choice(PARTS)
+        style = i % 12
+        name = ["_".join(words), words[0] + "".join(w.title() for w in words[1:]), "-".join(words), "_".join(words).upper(), "/".join(words), "".join(words), *[prose] * 3, *[prose.title()] * 2, prose.upper()][style]
         out.append((name + (str(r.randint(0, 2030)) if r.random() < 0.2 else ""), 0))
     return out
 
@@ -121,7 +133,7 @@ def spans(text: str, ratio: np.ndarray, threshold: float) -> list[tuple[int, int
     out += [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not s.isalpha() and score(s, ratio) > threshold:
+        if score(s, ratio) > threshold:
             out.append((m.start(), 3, m.end()))
     return sorted(out)
 

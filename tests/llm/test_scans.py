@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 from collections import Counter, defaultdict
 
 import pytest
@@ -168,6 +169,17 @@ def test_markov_model_parts_held_out_samples():
     assert right / len(held) > 0.97
 
 
+def test_keys_of_letters_only_are_scored(spark):
+    r = random.Random(11)
+    keys = ["".join(r.choices(string.ascii_letters, k=20)) for _ in range(200)]
+    plain = "internationalization counterrevolutionary Geschwindigkeitsbegrenzung Verantwortungsbewusstsein anticonstitutionnellement desafortunadamente responsabilidades getElementsByTagName straightforwardness".split()
+    docs = spark.createDataFrame(list(enumerate(keys + plain)), "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in secrets.scan(docs).collect()}
+    assert sum(got[i] == "markov:0:20" for i in range(200)) >= 190
+    assert not any(got[i] for i in range(200, len(got)))
+    assert secrets.redact(docs.where("doc_id < 200")).where("text = '[REDACTED]'").count() >= 190
+
+
 def test_redact(spark, odd):
     got = {r.doc_id: r.text for r in secrets.redact(odd).collect()}
     assert got[1] is None and got[5].endswith("cc by [REDACTED]'") and odd.columns == secrets.redact(odd).columns
