@@ -3,10 +3,9 @@
 The vocabulary of the neural part is the `vocabulary - 3` most frequent training words, a class
 for all other words, the end of a text, and the start (in contexts only). Counts of all
 (two words before, word) triples of all training texts are gathered by a distributed
-aggregate; `draws` triples in proportion to those counts train the model in numpy on the
-driver. Products of the trained matrices give the scores of every word after every context,
-and so the normaliser of each of the vocabulary's squared contexts; a token's
-log-probability is then exact and normalised. A word outside the vocabulary has the
+aggregate, and all of them train the model in numpy on the executors. Products of the trained
+matrices give the scores of every word after every context, and so the normaliser of each of
+the vocabulary's squared contexts; a token's log-probability is then exact and normalised. A word outside the vocabulary has the
 probability of its class times (c + 1) / (sum of c + 1 over such words, and 1 for unseen ones).
 
 Counts c of all words come from a distributed aggregate over 64-bit hashes of the words. The
@@ -29,7 +28,9 @@ from pyspark.sql import functions as F
 from siftwell.llm import _text as T
 from siftwell.llm._spark import saved
 
-VOCABULARY, HOT, DRAWS = 512, 1 << 18, 2_000_000
+VOCABULARY, HOT = 512, 1 << 18
+#: Distinct triples that one task learns from, about.
+SHARD = 1 << 19
 OTHER, END, START = 0, 1, 2
 #: The end of a text among word hashes.
 END_HASH = np.uint64(0x656E646F66746578)
@@ -125,43 +126,78 @@ class Hot:
         return h, row, ids, one, two, at, there
 
 
-def train(triples: np.ndarray, weights: np.ndarray, vocabulary: int = VOCABULARY, dim: int = 32, noise: int = 64, epochs: int = 3, batch: int = 4096, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(scores after one before, scores after two before, bias, log normaliser of [two, one]) from codes (two * V + one) * V + word and their draws."""
-    rng = np.random.RandomState(seed)
+def train(triples: DataFrame, vocabulary: int = VOCABULARY, dim: int = 32, noise: int = 64, epochs: int = 3, batch: int = 256, seed: int = 3, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(scores after one before, scores after two before, bias, log normaliser of [two, one]) from all rows of triples(code, n), with codes (two * V + one) * V + word.
+
+    Each epoch passes over every row, whose gradient counts n times. A row above the mean count is cut into pieces of
+    that count at most, which at most doubles the rows. They are dealt by hash into shards of about `shard` rows, which
+    start from one state and train apart; the mean of their states by counts is the next state.
+    """
     v = vocabulary
-    codes = np.repeat(triples, weights)
-    two, one, word = codes // (v * v), codes // v % v, codes % v
-    unigram = np.bincount(word, minlength=v) + 1e-2
+    most = triples.agg(F.coalesce(F.ceil(F.avg("n")), F.lit(1))).first()[0]
+    pieces = F.ceil(F.col("n") / most)
+    rows = triples.agg(F.coalesce(F.sum(pieces), F.lit(0))).first()[0]
+    cut = triples.select("code", "n", pieces.alias("of"), F.explode(F.sequence(F.lit(1).cast("long"), pieces)).alias("piece"))
+    own = F.floor(F.col("n") * F.col("piece") / F.col("of")) - F.floor(F.col("n") * (F.col("piece") - 1) / F.col("of"))
+    dealt = saved(cut.select(F.pmod(F.xxhash64("code", "piece", F.lit(seed)), F.lit(max(1, -(-rows // shard)))).alias("shard"), "code", own.alias("n")))
+    word, n = arrays(dealt.groupBy((F.col("code") % v).alias("word")).agg(F.sum("n").alias("n")))
+    unigram = np.full(v, 1e-2)
+    unigram[word] += n
     unigram[START] = 1e-9
     q = unigram / unigram.sum()
-    log_kq = np.log(noise * q)
+    log_kq, below = np.log(noise * q), np.cumsum(q)
+    rng = np.random.RandomState(seed)
     # word vectors, and a matrix for each place of the context; the bias starts at the unigram model
-    r, c1, c2, b = rng.randn(v, dim) * 0.1, np.eye(dim) * 0.5, np.eye(dim) * 0.2, np.log(q)
-    sums = [np.full_like(x, 1e-3) for x in (r, c1, c2, b)]
-    for _ in range(epochs if len(codes) else 0):
-        order = rng.permutation(len(codes))
-        for start in range(0, len(order), batch):
-            i = order[start : start + batch]
-            m = len(i)
-            sampled = np.searchsorted(np.cumsum(q), rng.random_sample(noise) * 0.999999)
-            x1, x2, y = r[one[i]], r[two[i]], r[word[i]]
-            context = x1 @ c1 + x2 @ c2
-            data = (context * y).sum(1) + b[word[i]] - log_kq[word[i]]
-            other = context @ r[sampled].T + b[sampled] - log_kq[sampled]
-            # the gradient of log s(data) + sum of log s(-other)
-            g_data = 1 / (1 + np.exp(np.clip(data, -40, 40)))
-            g_other = -1 / (1 + np.exp(-np.clip(other, -40, 40)))
-            g_context = g_data[:, None] * y + g_other @ r[sampled]
-            g_r = np.zeros_like(r)
-            np.add.at(g_r, word[i], g_data[:, None] * context)
-            np.add.at(g_r, sampled, g_other.T @ context)
-            np.add.at(g_r, one[i], g_context @ c1.T)
-            np.add.at(g_r, two[i], g_context @ c2.T)
-            g_b = np.bincount(word[i], g_data, minlength=v) + np.bincount(sampled, g_other.sum(0), minlength=v)
-            for value, total, g in zip((r, c1, c2, b), sums, (g_r, x1.T @ g_context, x2.T @ g_context, g_b), strict=True):
-                g = g / m
-                total += g * g
-                value += 0.1 * g / np.sqrt(total)
+    first = [rng.randn(v, dim) * 0.1, np.eye(dim) * 0.5, np.eye(dim) * 0.2, np.log(q)]
+    shapes = [x.shape for x in first] * 2
+    ends = np.cumsum([int(np.prod(x)) for x in shapes])
+    state = np.concatenate([x.ravel() for x in first] + [np.full(x.size, 1e-3) for x in first])
+
+    def parted(flat: np.ndarray) -> list[np.ndarray]:
+        return [x.reshape(shape) for x, shape in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
+
+    def learning(state: np.ndarray, epoch: int):
+        def learn(found: pa.Table) -> pa.Table:
+            number = found.column("shard")[0].as_py()
+            codes, weight = (found.column(c).to_numpy() for c in ("code", "n"))
+            order = np.lexsort((weight, codes))
+            codes, weight = codes[order], weight[order]
+            two, one, word = codes // (v * v), codes // v % v, codes % v
+            rng = np.random.RandomState([seed, epoch, number])
+            own = state.copy()
+            r, c1, c2, b, *sums = parted(own)
+            order = rng.permutation(len(codes))
+            scale = batch * weight.mean()
+            for start in range(0, len(order), batch):
+                i = order[start : start + batch]
+                sampled = np.searchsorted(below, rng.random_sample(noise) * 0.999999)
+                x1, x2, y = r[one[i]], r[two[i]], r[word[i]]
+                context = x1 @ c1 + x2 @ c2
+                data = (context * y).sum(1) + b[word[i]] - log_kq[word[i]]
+                other = context @ r[sampled].T + b[sampled] - log_kq[sampled]
+                # the gradient of log s(data) + sum of log s(-other)
+                g_data = weight[i] / (1 + np.exp(np.clip(data, -40, 40)))
+                g_other = -weight[i, None] / (1 + np.exp(-np.clip(other, -40, 40)))
+                g_context = g_data[:, None] * y + g_other @ r[sampled]
+                g_r = np.zeros_like(r)
+                np.add.at(g_r, word[i], g_data[:, None] * context)
+                np.add.at(g_r, sampled, g_other.T @ context)
+                np.add.at(g_r, one[i], g_context @ c1.T)
+                np.add.at(g_r, two[i], g_context @ c2.T)
+                g_b = np.bincount(word[i], g_data, minlength=v) + np.bincount(sampled, g_other.sum(0), minlength=v)
+                for value, total, g in zip((r, c1, c2, b), sums, (g_r, x1.T @ g_context, x2.T @ g_context, g_b), strict=True):
+                    g = g / scale
+                    total += g * g
+                    value += 0.1 * g / np.sqrt(total)
+            return pa.table({"shard": pa.array([number], pa.int64()), "weight": pa.array([int(weight.sum())], pa.int64()), "state": pa.array([own.tobytes()], pa.binary())})
+
+        return learn
+
+    for epoch in range(epochs if rows else 0):
+        learnt = sorted(dealt.groupBy("shard").applyInArrow(learning(state, epoch), "shard long, weight long, state binary").collect())
+        mass = sum(x.weight for x in learnt)
+        state = sum(np.frombuffer(x.state) * (x.weight / mass) for x in learnt)
+    r, c1, c2, b, *_ = parted(state)
     b[START] = -1e9  # never a word
     after_one, after_two = (r @ c1) @ r.T, (r @ c2) @ r.T
     normaliser = np.empty((v, v))
@@ -172,7 +208,7 @@ def train(triples: np.ndarray, weights: np.ndarray, vocabulary: int = VOCABULARY
     return after_one, after_two, b, normaliser
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, hot: int = HOT, draws: int = DRAWS, dim: int = 32, epochs: int = 3, seed: int = 3) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, hot: int = HOT, dim: int = 32, epochs: int = 3, seed: int = 3) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of docs, learning from the rows where `training` holds."""
     v = vocabulary
     texts = docs.where(training).select(F.col(text_col).alias("text"))
@@ -187,13 +223,8 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         _, _, ids, one, two, _, _ = table.sequence(data, offsets)
         return (two * v + one) * v + ids
 
-    triples = texts.mapInArrow(_counting(each, "code"), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    share = min(1.0, draws / total) if total else 1.0
-    drawn = F.floor(F.col("n") * share + F.pmod(F.xxhash64("code", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)).cast("long")
-    codes, n = arrays(triples.select("code", drawn.alias("n")).where("n > 0"))  # the draws' number bounds them
-    order = np.argsort(codes)
-    codes, n = codes[order], n[order]
-    after_one, after_two, bias, normaliser = (x.astype(np.float32) for x in train(codes, n, v, dim, epochs=epochs, seed=seed))
+    triples = texts.mapInArrow(_counting(each, "code"), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).transform(saved)
+    after_one, after_two, bias, normaliser = (x.astype(np.float32) for x in train(triples, v, dim, epochs=epochs, seed=seed))
     log_count = np.log10(table.n + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,6 +97,19 @@ def test_lm(spark, odd):
     assert lm.score(odd.limit(0), F.lit(True), vocabulary=8).count() == 0
 
 
+def test_lm_learns_from_all_triples(spark):
+    v = 8
+    heavy = [(3 * v + 4) * v + 5, (4 * v + 5) * v + 3]
+    rows = [(c, 3_000_000) for c in heavy] + [((a * v + b) * v + 6, 1) for a in range(3, 7) for b in range(3, 7)]
+    frame = lambda rows: spark.createDataFrame(rows, "code long, n long")
+    after_one, after_two, bias, normaliser = found = lm.train(frame(rows), v, dim=4, epochs=8, shard=5)
+    s = after_one[4] + after_two[3] + bias
+    assert np.isclose(normaliser[3, 4], np.log(np.exp(s).sum()))
+    again, less = lm.train(frame(rows[::-1]).repartition(3), v, dim=4, epochs=8, shard=5), lm.train(frame(rows[:-1]), v, dim=4, epochs=8, shard=5)
+    assert all(np.allclose(a, b) for a, b in zip(found, again, strict=True))
+    assert not np.allclose(found[0], less[0])  # one count of six million tells
+
+
 def test_decontamination(spark, odd):
     items = spark.createDataFrame([(1, "one two three four five six seven", 9), (1, "ONE, two three four five", 9), (2, None, 9), (3, "one", 9), (None, "zz yy xx ww vv", 9)], "item_id long, text string, item int")
     got = sorted((r.doc_id, r.item_id, r.n_item) for r in decontamination.contained(odd, items).collect())
