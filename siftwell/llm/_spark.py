@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where it is unset (tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a local master (tests) gets a temporary one and any other raises."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
         kept = context._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="siftwell-checkpoint-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(found)
@@ -28,21 +30,32 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def grouped(df: DataFrame, keys: list[str], first: list[Column], then: list[Column], ways: int = 16) -> DataFrame:
+    """df grouped by keys in two steps: by key and one of `ways` salts, then by key.
+
+    Each map task leaves one partial row of a frequent key, so a plain aggregate of such a key reads as many rows in one
+    task as there were map tasks; here it reads `ways` at most. `then` merges the columns that `first` makes.
+    """
+    salted = df.withColumn("salt_", F.spark_partition_id() % ways).groupBy(*keys, "salt_").agg(*first)
+    return salted.groupBy(*keys).agg(*then)
+
+
 def looked_up(rows: DataFrame, known: DataFrame, key: str, n: str = "n", parts: int = 256) -> DataFrame:
     """rows with the columns of `known`, which has each key once and the number `n` of rows that hold it; null where there is none.
 
-    At most `parts` keys hold as much as 1/parts of all rows: these are broadcast, so no task gets all
-    rows of a frequent key. Rows with a null key skip the join; all others are joined by key.
+    At most `parts` keys hold as much as 1/parts of all rows: these are broadcast. Their rows and those with a null key
+    then have a salt that nothing else has, so the shuffle join of all other rows deals them evenly and matches none.
     """
     known = saved(known)
     total = known.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     often = F.col(n) * parts >= total
-    few, many = known.where(often).drop(n), known.where(~often).drop(n)
-    there = rows.where(F.col(key).isNotNull())
-    found = there.join(F.broadcast(few), key)
-    rest = there.join(F.broadcast(few.select(key)), key, "left_anti").join(many, key, "left")
-    nothing = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in many.schema if f.name != key])
-    return found.unionByName(rest).unionByName(nothing)
+    more = [c for c in known.columns if c not in (key, n)]
+    few = known.where(often).select(F.col(key).alias("key_"), F.lit(True).alias("often_"), *[F.col(c).alias(f"{c}_few_") for c in more])
+    many = known.where(~often).select(F.col(key).alias("key_"), F.lit(0).cast("long").alias("salt_"), *more)
+    marked = rows.join(F.broadcast(few), F.col(key) == F.col("key_"), "left").drop("key_")
+    salt = F.when(F.col("often_") | F.col(key).isNull(), 1 + F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    joined = marked.withColumn("salt", salt).join(many, (F.col(key) == F.col("key_")) & (F.col("salt") == F.col("salt_")), "left")
+    return joined.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col(f"{c}_few_"), F.col(c)).alias(c) for c in more])
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:

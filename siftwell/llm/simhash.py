@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import _text as T
-from siftwell.llm._spark import components, looked_up, saved
+from siftwell.llm._spark import components, grouped, looked_up, saved
 
 #: Distinct fingerprints in a bucket up to which it is joined with itself.
 BUCKET = 32
@@ -60,9 +60,11 @@ def fingerprint(data: np.ndarray, offsets: np.ndarray, k: int = 3, seed: int = 4
     for i, row in enumerate(rows):
         part = h[at : stops[i]]
         at = stops[i]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.ones(len(bits), np.float32) @ bits.astype(np.float32) if len(bits) < (1 << 20) else bits.sum(axis=0, dtype=np.int64)
-        out[row] = np.packbits(2 * ones > len(bits), bitorder="little").view(np.uint64)[0]
+        ones = np.zeros(64)
+        for low in range(0, len(part), 1 << 16):  # the bits of a long text are counted in pieces
+            bits = np.unpackbits(part[low : low + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += np.ones(len(bits), np.float32) @ bits.astype(np.float32)
+        out[row] = np.packbits(2 * ones > len(part), bitorder="little").view(np.uint64)[0]
     return out
 
 
@@ -116,7 +118,7 @@ def links(fps: DataFrame, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, seed: int = 42, bits: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs; see the module's text for nulls, empty texts and ties."""
     each = saved(fingerprints(docs, id_col, text_col, k, seed))
-    classes = each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    classes = saved(grouped(each, ["fp"], [F.min("doc_id").alias("least"), F.count("*").alias("n")], [F.min("least").alias("least"), F.sum("n").alias("n")]))
     found = saved(components(links(classes.select("fp"), bits)))
     least = classes.join(found, classes.fp == found.node).groupBy("component").agg(F.min("least").alias("linked"))
     linked = found.join(least, "component").select(F.col("node").alias("fp"), "linked")
