@@ -130,8 +130,8 @@ def hash_word(word: str) -> int:
     return int(word_hashes(Words(raw, one, one + len(raw), one, 1))[0])
 
 
-def shingle_hashes(h: np.ndarray, row: np.ndarray, k: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-word shingles in each row, and their rows. A row with 1 to k-1 words has one shingle, all its words."""
+def shingle_hashes(h: np.ndarray, row: np.ndarray, k: int, rows: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-word shingles in each row, and their rows. With `whole`, a row with n < k words has one shingle, all its words, hashed as an n-word one."""
     n = len(h)
     with np.errstate(over="ignore"):
         full = n - k + 1
@@ -145,7 +145,7 @@ def shingle_hashes(h: np.ndarray, row: np.ndarray, k: int, rows: int) -> tuple[n
             out, at = np.zeros(0, _U), np.zeros(0, row.dtype)
         count = np.bincount(row, minlength=rows)
         short = np.flatnonzero((count > 0) & (count < k))
-        if len(short):
+        if whole and len(short):
             first = np.searchsorted(row, short)
             more = h[first].copy()
             for i in range(1, k - 1):

@@ -110,13 +110,44 @@ def test_lm_learns_from_all_triples(spark):
     assert not np.allclose(found[0], less[0])  # one count of six million tells
 
 
+def contained_by_brute_force(docs, items):
+    def words(t):
+        return re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+
+    def grams(w, n):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    out = []
+    for i, t in items:
+        own = grams(w, n) if (n := min(5, len(w := words(t)))) else set()
+        for d, text in docs:
+            if own and len(both := own & grams(words(text), n)) >= 0.8 * len(own):
+                out.append((d, i, len(both), len(own)))
+    return Counter(out)
+
+
 def test_decontamination(spark, odd):
-    items = spark.createDataFrame([(1, "one two three four five six seven", 9), (1, "ONE, two three four five", 9), (2, None, 9), (3, "one", 9), (None, "zz yy xx ww vv", 9)], "item_id long, text string, item int")
-    got = sorted((r.doc_id, r.item_id, r.n_item) for r in decontamination.contained(odd, items).collect())
-    assert got == [(4, 3, 1), (4, 3, 1), (6, 1, 1), (6, 1, 3)]
+    items = spark.createDataFrame([(1, "one two three four five six seven", 9), (1, "ONE, two three four five", 9), (2, None, 9), (3, "one", 9), (4, "Two three", 9), (4, "Two three", 9), (None, "zz yy xx ww vv", 9), (5, "what is seven times", 9)], "item_id long, text string, item int")
+    more = spark.createDataFrame([(7, "so what is seven times eight, one asks"), (8, "what is times seven")], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").unionAll(more)
+    got = Counter((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontamination.contained(docs, items).collect())
+    assert got == contained_by_brute_force([tuple(r) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    assert got[7, 5, 1, 1] == 1 and got[6, 4, 1, 1] == 2 and got[6, 3, 1, 1] == 1
     assert decontamination.contained(odd, items.limit(0)).count() == 0 and decontamination.contained(odd.limit(0), items).count() == 0
 
 
+def test_decontamination_of_whole_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    got = Counter((r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontamination.contained(docs, items).collect())
+    assert got == contained_by_brute_force([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()]) and got
+
+
+def test_decontamination_joins_by_shuffle_too(spark, odd, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST", 0)
+    test_decontamination(spark, odd)
+
+
 def test_graph_search_equals_brute_force():
     r = np.random.default_rng(3)
     centres = r.normal(size=(40, 16))
