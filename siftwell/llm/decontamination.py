@@ -53,6 +53,15 @@ def _by_row(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int
         yield low, T.word_hashes(w), w.row, w.rows
 
 
+def _distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, h), sorted."""
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    return row[fresh], h[fresh]
+
+
 def size_class(n: np.ndarray) -> np.ndarray:
     """The c with 2**c > n >= 2**(c-1)."""
     return np.frexp(n.astype(float))[1]
@@ -65,14 +74,14 @@ def _items(items: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for low, words, word_row, rows in _by_row(batch.column(2)):
                 h, row = T.shingle_hashes(words, word_row, k, rows)
-                h, row = np.unique(np.stack([row.astype(np.uint64), h]), axis=1)[::-1]
-                there, starts, n = np.unique(row.astype(np.int64), return_index=True, return_counts=True)
+                row, h = _distinct(row, h)
+                there, starts, n = np.unique(row, return_index=True, return_counts=True)
                 if not len(there):
                     continue
                 least = np.stack([minima(h, starts, i) for i in range(PERMUTATIONS)], 1)
                 length = np.minimum(k, np.bincount(word_row, minlength=rows)[there])
                 at = pa.array(there + low)
-                lists = [pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(T.signed(h.copy()))), pa.ListArray.from_arrays(pa.array(np.arange(len(there) + 1, dtype=np.int32) * PERMUTATIONS), pa.array(T.signed(least.ravel())))]
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(starts, len(h)).astype(np.int32)), pa.array(T.signed(h))), pa.ListArray.from_arrays(pa.array(np.arange(len(there) + 1, dtype=np.int32) * PERMUTATIONS), pa.array(T.signed(least.ravel())))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(length.astype(np.int32)), pa.array(size_class(n).astype(np.int32)), pa.array(n.astype(np.int64)), *lists], names=["item", "item_id", "length", "class", "n_item", "shingles", "minima"])
 
     kind = items.schema["item_id"].dataType.simpleString()
@@ -80,18 +89,18 @@ def _items(items: DataFrame, k: int) -> DataFrame:
 
 
 class Bitmap:
-    """A bit for the top bits of each of `n` values, about 64 bits a value while MOST_BITS suffice; at most 2**(bits-6) words come to the driver."""
+    """A bit for the top bits of each of `n` values, 512 to 1,024 bits a value while MOST_BITS suffice; at most 2**(bits-6) words come to the driver."""
 
     def __init__(self, values: DataFrame, n: int):
-        bits = min(MOST_BITS, max(12, int(n).bit_length() + 6))
+        bits = min(MOST_BITS, max(12, int(n).bit_length() + 9))
         self.down, self.words = np.uint64(64 - bits), np.zeros(1 << (bits - 6), np.uint64)
         top = values.select(F.shiftrightunsigned("value", 64 - bits).alias("top"))
         found = top.groupBy(F.expr("shiftright(top, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(top & 63 as int)))").alias("word")).toArrow()
         self.words[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
 
     def __call__(self, values: np.ndarray) -> np.ndarray:
-        at = values >> self.down
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        at = (values >> self.down).view(np.int64)
+        return (self.words[at >> 6] >> (at & 63).view(np.uint64)) & np.uint64(1) > 0
 
 
 def contained(docs: DataFrame, items: DataFrame, least: float = 0.8, k: int = 5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -113,28 +122,34 @@ def contained(docs: DataFrame, items: DataFrame, least: float = 0.8, k: int = 5,
                     count = np.bincount(row, minlength=rows)
                     place = np.arange(len(h)) - (np.cumsum(count) - count)[row]
                     met = np.zeros(rows, bool)
-                    for c in (c for own, c in partitions if own == length):
-                        starts = np.flatnonzero(place % (2 << int(c)) == 0)
-                        for i in range(PERMUTATIONS):
-                            value = minima(h, starts, i)
-                            hit = by_min(value)
-                            if hit.any():
-                                at, value = np.unique(np.stack([row[starts[hit]].astype(np.uint64), value[hit]]), axis=1)
-                                met[at.astype(np.int64)] = True
-                                hits.append((at.astype(np.int64), np.full(len(at), length), np.full(len(at), c), np.full(len(at), i), value))
+                    # a window of one size is two of the size before: minima of the larger come from those of the smaller
+                    sizes = [c for own, c in partitions if own == length]
+                    starts = [np.flatnonzero(place % (2 << c) == 0) for c in sizes]
+                    inner = [np.searchsorted(a, b) for a, b in zip(starts, starts[1:], strict=False)]
+                    owners = [row[s] for s in starts]
+                    for i in range(PERMUTATIONS):
+                        value = minima(h, starts[0], i)
+                        for j, c in enumerate(sizes):
+                            if j:
+                                value = np.minimum.reduceat(value, inner[j - 1])
+                            hit = np.flatnonzero(by_min(value))
+                            if len(hit):
+                                at = owners[j][hit]
+                                met[at] = True
+                                hits.append((at, np.full(len(at), length), np.full(len(at), c), np.full(len(at), i), value[hit]))
                     kept = met[row] & by_shingle(h)
                     bags.append((row[kept], h[kept]))
                 if not hits:
                     continue
                 at, length, c, perm, value = (np.concatenate(x) for x in zip(*hits, strict=True))
                 # a row of its own for each document's shingles, with perm -1
-                row, h = np.unique(np.stack([np.concatenate([r for r, _ in bags]).astype(np.uint64), np.concatenate([x for _, x in bags])]), axis=1)
-                owner, starts = np.unique(row.astype(np.int64), return_index=True)
+                row, h = _distinct(np.concatenate([r for r, _ in bags]), np.concatenate([x for _, x in bags]))
+                owner, first = np.unique(row, return_index=True)
                 none = len(at)
                 own = pa.array(np.concatenate([at, owner]) + low)
-                stop = np.concatenate([np.zeros(none, np.int32), starts.astype(np.int32), [len(h)]]).astype(np.int32)
+                stop = np.concatenate([np.zeros(none, np.int32), first, [len(h)]]).astype(np.int32)
                 more = lambda x, fill: np.concatenate([x, np.full(len(owner), fill)])  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(more(length, 0).astype(np.int32)), pa.array(more(c, 0).astype(np.int32)), pa.array(more(perm, -1).astype(np.int32)), pa.array(np.concatenate([value, np.zeros(len(owner), np.uint64)]).view(np.int64)), pa.ListArray.from_arrays(pa.array(stop), pa.array(T.signed(h.copy())))], names=["row", "doc_id", "length", "class", "perm", "value", "bag"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(more(length, 0).astype(np.int32)), pa.array(more(c, 0).astype(np.int32)), pa.array(more(perm, -1).astype(np.int32)), pa.array(np.concatenate([value, np.zeros(len(owner), np.uint64)]).view(np.int64)), pa.ListArray.from_arrays(pa.array(stop), pa.array(T.signed(h)))], names=["row", "doc_id", "length", "class", "perm", "value", "bag"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

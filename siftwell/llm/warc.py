@@ -5,10 +5,13 @@ folder that all executors share. Each attempt of a task writes files of its own,
 those that a finished task reports are read.
 
 The reader checks every record: the member must inflate with its checksum, begin with a
-version line, hold as many bytes as its header says, and match its block and payload digests. After a
+version line, hold as many bytes as its header says, and match its block and payload digests.
+A member may hold several records. Headers may have any length. After a
 failed check it searches for the next place where a valid member or, in plain archives, a
-valid record begins, goes on from there, and reports the bytes between as quarantined. It
-reads in chunks, so memory depends on the largest record.
+valid record begins, goes on from there, and reports the bytes between as quarantined. In a
+member that inflates, the same search goes on within its content; a gap there is reported at
+the member's place with its offset in the content. It reads in chunks, so memory depends on
+the largest member or record.
 
 Null html is an empty payload and null url an empty address. Of rows with equal payloads of
 at least `least` bytes, that with the largest page_id is the response (null counts as the
@@ -32,12 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm._spark import checkpoint_dir, saved
+from siftwell.llm._spark import checkpoint_dir, grouped, looked_up, saved
 
 ROLL = 64 << 20
 CHUNK = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
-VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+VERSION = re.compile(rb"WARC/(?:0\.\d+|1\.[01])\r\n")
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -119,25 +122,15 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
-def _parse(raw: bytes, offset: int, length: int) -> Record | str:
-    """The record, or what is wrong with it."""
-    if not VERSION.match(raw):
-        return "no version line"
-    stop = raw.find(b"\r\n\r\n")
-    if stop < 0:
-        return "no end of header"
-    f = _fields(raw[:stop])
-    if not f.get("content-length", "").isdigit():
-        return "no content length"
-    block = raw[stop + 4 : stop + 4 + int(f["content-length"])]
-    if len(block) != int(f["content-length"]) or raw[stop + 4 + len(block) :] != b"\r\n\r\n":
-        return "wrong content length"
+def _parse(f: dict[str, str], block: bytes, offset: int, length: int) -> Record | str:
+    """The record of that header and block, or what is wrong with it."""
     if (said := f.get("warc-block-digest", "")).startswith("sha1:") and said[5:] != digest_of(block):
         return "wrong block digest"
     http = block.find(b"\r\n\r\n") if block.startswith(b"HTTP/") else -4
     payload = block[http + 4 :]
     digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
-    kind = f.get("warc-type", "")
+    if not (kind := f.get("warc-type", "")):
+        return "no record type"
     n = len(payload)
     if kind == "revisit":
         said = _fields(block[: max(http, 0)]).get("content-length", "")
@@ -149,50 +142,60 @@ def _parse(raw: bytes, offset: int, length: int) -> Record | str:
 
 def _plain(s: _Source, offset: int) -> tuple[Record | str, int]:
     """The record of a plain archive at offset and its end; for a failed one, the end is the offset."""
-    head, stop = s.at(offset, CHUNK), -1
-    if not VERSION.match(head):
+    if not VERSION.match(s.at(offset, 16)):
         return "no version line", offset
-    stop = head.find(b"\r\n\r\n")
-    if stop < 0:
+    stop = s.find(b"\r\n\r\n", offset)
+    if stop == s.size:
         return "no end of header", offset
-    n = _fields(head[:stop]).get("content-length", "")
-    if not n.isdigit() or offset + stop + 8 + int(n) > s.size:
+    f = _fields(s.at(offset, stop - offset))
+    n = f.get("content-length", "")
+    if not n.isdigit():
+        return "no content length", offset
+    start, end = stop + 4, stop + 8 + int(n)
+    if end > s.size or s.at(end - 4, 4) != b"\r\n\r\n":
         return "wrong content length", offset
-    end = offset + stop + 4 + int(n) + 4
-    got = _parse(s.at(offset, end - offset), offset, end - offset)
+    got = _parse(f, s.at(start, int(n)), offset, end - offset)
     return got, end if isinstance(got, Record) else offset
 
 
-def _zipped(s: _Source, offset: int) -> tuple[Record | str, int]:
+def _scan(s: _Source, read, mark: bytes) -> Iterator[Record]:
+    """What `read` finds from the start on, and the gaps between; after a failure it goes on at the next `mark`."""
+    at, gap, why = 0, None, ""
+    while at < s.size:
+        got, end = read(s, at)
+        if isinstance(got, str):
+            if gap is None:
+                gap, why = at, got
+            at = s.find(mark, at + 1)
+            continue
+        if gap is not None:
+            yield Record(gap, at - gap, "quarantined", "", "", None, None, 0, b"", why)
+            gap = None
+        yield from [got] if isinstance(got, Record) else got
+        at = end
+    if gap is not None:
+        yield Record(gap, s.size - gap, "quarantined", "", "", None, None, 0, b"", why)
+
+
+def _zipped(s: _Source, offset: int) -> tuple[list[Record] | str, int]:
+    """The records of the member at offset, with what is wrong between them, and its end; a member without any record fails."""
     if s.at(offset, 3) != MAGIC:
         return "no member", offset
     member = s.inflate(offset)
     if member is None:
         return "member doesn't inflate", offset
-    got = _parse(member[0], offset, member[1] - offset)
-    return got, member[1] if isinstance(got, Record) else offset
+    found = list(_scan(_Source(member[0]), _plain, b"WARC/"))
+    if all(r.kind == "quarantined" for r in found):
+        return (found[0].note if found else "empty member"), offset
+    length = member[1] - offset
+    return [r._replace(note=f"{r.note}, bytes {r.offset} to {r.offset + r.length} of the member's content", offset=offset, length=length) if r.kind == "quarantined" else r._replace(offset=offset, length=length) for r in found], member[1]
 
 
 def salvage(data) -> Iterator[Record]:
     """All records of an archive (bytes, or a file with seek, read and size), and its quarantined gaps, in order."""
     s = _Source(data)
-    zipped = s.at(0, 2) == MAGIC[:2] or (not VERSION.match(s.at(0, 10)) and s.find(MAGIC, 0) < s.find(b"WARC/1.", 0))
-    read, mark = (_zipped, MAGIC) if zipped else (_plain, b"WARC/1.")
-    at, gap, why = 0, None, ""
-    while at < s.size:
-        got, end = read(s, at)
-        if isinstance(got, Record):
-            if gap is not None:
-                yield Record(gap, at - gap, "quarantined", "", "", None, None, 0, b"", why)
-                gap = None
-            yield got
-            at = end
-        else:
-            if gap is None:
-                gap, why = at, got
-            at = s.find(mark, at + 1)
-    if gap is not None:
-        yield Record(gap, s.size - gap, "quarantined", "", "", None, None, 0, b"", why)
+    zipped = s.at(0, 2) == MAGIC[:2] or (not VERSION.match(s.at(0, 16)) and s.find(MAGIC, 0) < s.find(b"WARC/", 0))
+    yield from _scan(s, *((_zipped, MAGIC) if zipped else (_plain, b"WARC/")))
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -204,9 +207,11 @@ def write(pages: DataFrame, folder: str | None = None, page_id: str = "page_id",
     folder = folder or f"{checkpoint_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
+    # equal payloads are those of one SHA-1; the most frequent ones meet their heads without a shuffle by digest
     head = F.max(F.struct("page_id", "row"))
-    heads = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(head.alias("head"), F.count("*").alias("n")).where("n > 1").select("digest", "head")
-    marked = rows.join(heads.hint("shuffle_hash"), "digest", "left")
+    big = rows.where(F.octet_length("payload") >= least).select("page_id", "row", "digest")
+    heads = grouped(big, ["digest"], [head.alias("head"), F.count("*").alias("n")], [F.max("head").alias("head"), F.sum("n").alias("n")]).where("n > 1")
+    marked = looked_up(rows, heads, "digest")
     revisit = F.col("head").isNotNull() & (F.octet_length("payload") >= least) & (F.col("head.row") != F.col("row"))
     marked = marked.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", F.col("head.page_id").cast("string").alias("to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
 

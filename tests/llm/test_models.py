@@ -85,6 +85,26 @@ def test_salvage(zipped):
     assert gaps == [(len(parts[0]), len(parts[1])), (len(data), 4)]
 
 
+def test_salvage_of_long_headers_and_members_of_several_records():
+    import gzip
+
+    raw = [warc.record_bytes(str(i), "http://h/" + "x" * 70_000 * (i == 1), b"p%d" % i, None, False) for i in range(4)]
+    old = raw[3].replace(b"WARC/1.1", b"WARC/0.18")
+    ids = lambda data: [(r.record_id, r.kind) for r in warc.salvage(data)]
+    want = [(f"<urn:page:{i}>", "response") for i in range(4)]
+    assert ids(b"".join([*raw[:3], old])) == want
+    assert ids(gzip.compress(b"".join(raw[:3])) + gzip.compress(old)) == want
+    bad = raw[1][:-6] + b"zz" + raw[1][-4:]
+    got = list(warc.salvage(gzip.compress(raw[0] + bad + raw[2]) + gzip.compress(old)))
+    assert [(r.record_id, r.kind) for r in got] == [want[0], ("", "quarantined"), want[2], want[3]]
+    assert got[1].note.endswith(f"bytes {len(raw[0])} to {len(raw[0] + bad)} of the member's content")
+    # damage that spans records
+    data = b"".join(raw)
+    hit = len(raw[0]) + 10
+    data = data[:hit] + b"\0" * (len(raw[1]) + 20) + data[hit + len(raw[1]) + 20 :]
+    assert ids(data) == [want[0], ("", "quarantined"), want[3]]
+
+
 def test_lm(spark, odd):
     got = lm.score(odd, F.coalesce(F.col("doc_id") != 6, F.lit(True)), vocabulary=8, hot=2, epochs=1).collect()
     rows = [(r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", r.text or "") + [""]) for r in odd.collect()]
