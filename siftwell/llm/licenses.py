@@ -3,9 +3,10 @@
 Every rolling word pair of every document is hashed and joined to the places where a
 template has that pair; the words themselves are compared too, so an equal hash is never
 trusted. A hit votes for the diagonal (place in the document minus place in the template).
-Neighbouring diagonals within `gap` words of drift and distance merge into one span, and a
-span counts if it covers enough of the template. A base phrase counts only where one
-diagonal holds all of its pairs, that is where its words stand consecutively.
+Neighbouring diagonals within `gap` words of drift and distance merge into one span as long as
+they go on in the template (one that begins at or before the last place voted for is another
+copy), and a span counts if it covers enough of the template. A base phrase counts only where
+one diagonal holds all of its pairs, that is where its words stand consecutively.
 
 Null and empty texts give a row with no words and no label. Each input row gives one row,
 repeated rows and null ids too.
@@ -52,34 +53,35 @@ def template_pairs(spark: SparkSession, phrases: dict[str, str] = PHRASES, templ
     return made.select(F.xxhash64("one", "two").alias("pair_hash"), "*")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, gap: int = 3, cover: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, gap: int = 3, cover: float = 0.8, spans: bool = True) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) for every row of docs.
 
     score is the largest share of a template's pairs that a span covers (1 for a base place,
     0 without any span); spans are struct(label, start, end, cover), in words, end exclusive.
+    Without `spans` that column, which lists all places of a text, is left out: the others need counts only.
     """
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
-    hashes = F.transform(F.col("words"), lambda w, i: F.xxhash64(w, F.get(F.col("words"), i + 1)))
+    pair = lambda w, i: F.struct(F.xxhash64(w, F.get("words", i + 1)).alias("h"), w.alias("w1"), F.get("words", i + 1).alias("w2"))
     # the first element stands for the row itself, and keeps rows without hits
-    each = rows.select("row", "doc_id", "words", F.posexplode(F.concat(F.array(F.lit(None).cast("long")), hashes)).alias("place", "pair_hash"))
+    mark = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(None).cast("string").alias("w1"), F.lit(None).cast("string").alias("w2")))
+    each = rows.select("row", "doc_id", F.size("words").alias("size"), F.posexplode(F.concat(mark, F.transform("words", pair))).alias("place", "pair"))
     pairs = F.broadcast(template_pairs(docs.sparkSession, phrases, templates))
-    hits = each.alias("e").withColumnRenamed("pair_hash", "h").join(pairs.alias("t"), (F.col("h") == F.col("t.pair_hash")) & (F.get("words", F.col("place") - 1) == F.col("one")) & (F.get("words", F.col("place")) == F.col("two")), "left")
-    hits = hits.where("template is not null or place = 0").select("row", "doc_id", F.when(F.col("place") == 0, F.size("words")).cast("long").alias("n"), (F.col("place") - 1).alias("place"), "template", "at", "pairs", "label", "base")
+    hits = each.join(pairs, (F.col("pair.h") == F.col("pair_hash")) & (F.col("pair.w1") == F.col("one")) & (F.col("pair.w2") == F.col("two")), "left")
+    hits = hits.where("template is not null or place = 0").select("row", "doc_id", F.when(F.col("place") == 0, F.col("size")).cast("long").alias("n"), (F.col("place") - 1).alias("place"), "template", "at", "pairs", "label", "base")
     # votes on each diagonal; row marks pass through as template null
     votes = hits.groupBy("row", "doc_id", "template", "pairs", "label", "base", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.max("n").alias("n"), F.count("at").alias("votes"), F.min("place").alias("low"), F.max("place").alias("high"), F.collect_set("at").alias("ats"))
     at_row = Window.partitionBy("row", "template", "base").orderBy("low", "diagonal")
     drift = F.abs(F.col("diagonal") - F.lag("diagonal").over(at_row)) > gap
     far = F.col("low") - F.lag("high").over(at_row) > gap + 1
-    fresh = votes.withColumn("fresh", F.when(F.col("base"), 1).otherwise(F.coalesce((drift | far).cast("int"), F.lit(1))))
+    again = F.array_min("ats") <= F.lag(F.array_max("ats")).over(at_row)
+    fresh = votes.withColumn("fresh", F.when(F.col("base"), 1).otherwise(F.coalesce((drift | far | again).cast("int"), F.lit(1))))
     merged = fresh.withColumn("group", F.sum("fresh").over(at_row)).groupBy("row", "doc_id", "template", "pairs", "label", "base", "group")
-    merged = merged.agg(F.max("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"), F.min("low").alias("low"), F.max("high").alias("high"))
+    merged = merged.agg(F.max("n").alias("n"), F.sum(F.size("ats")).alias("covered"), F.min("low").alias("low"), F.max("high").alias("high"))
     share = F.col("covered") / F.col("pairs")
-    long = (F.col("high") - F.col("low") + 1) <= F.col("pairs") + 2 * gap
-    whole = F.when(F.col("base"), F.col("covered") == F.col("pairs")).otherwise((share >= cover) & long)
-    span = F.when(whole, F.struct("label", F.col("low").cast("long").alias("start"), (F.col("high") + 2).cast("long").alias("end"), share.alias("cover"), "base"))
-    by_row = merged.groupBy("row", "doc_id").agg(F.max("n").alias("n_words"), F.array_sort(F.collect_list(span)).alias("all"))
-    base = F.filter("all", lambda x: x["base"])
-    labels = lambda xs: F.array_join(F.array_sort(F.array_distinct(F.transform(xs, lambda x: x["label"]))), ",")
-    starts = F.transform(base, lambda x: x["start"])
-    return by_row.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("all")).alias("labels"), F.coalesce(F.array_max(F.transform("all", lambda x: x["cover"])), F.lit(0.0)).alias("score"), F.transform("all", lambda x: F.struct(x["label"].alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["cover"].alias("cover"))).alias("spans"))
+    whole = F.when(F.col("base"), F.col("covered") == F.col("pairs")).otherwise(share >= cover)
+    found = merged.select("row", "doc_id", "n", F.when(whole, F.col("label")).alias("label"), (F.col("base") & whole).alias("is_base"), F.col("low").cast("long").alias("start"), (F.col("high") + 2).cast("long").alias("end"), F.when(whole, share).alias("cover"))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    start = F.when(F.col("is_base"), F.col("start"))
+    listed = [F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "start", "end", "cover")))).alias("spans")] if spans else []
+    return found.groupBy("row", "doc_id").agg(F.max("n").alias("n_words"), F.count_if("is_base").alias("n_base"), F.min(start).alias("first_word"), F.max(start).alias("last_word"), joined(F.when(F.col("is_base"), F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.coalesce(F.max("cover"), F.lit(0.0)).alias("score"), *listed).drop("row")

@@ -31,7 +31,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir)).drop("spans")
+    return licenses.scan(documents(spark, sf_dir), spans=False)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

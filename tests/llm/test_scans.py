@@ -134,6 +134,49 @@ def test_licenses(spark, odd):
         assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
 
 
+def spans_by_brute_force(text, templates, gap=3, cover=0.8):
+    """(label, start, end, share) of merged diagonals, from all pairs of places."""
+    w, out = re.findall(licenses.WORD, low(text)), []
+    for template, label in templates.items():
+        t = template.split()
+        diagonals = defaultdict(list)
+        for i in range(len(w) - 1):
+            for j in range(len(t) - 1):
+                if w[i : i + 2] == t[j : j + 2]:
+                    diagonals[i - j].append(i)
+        last, groups = None, []
+        for d, at in sorted(diagonals.items(), key=lambda x: (min(x[1]), x[0])):
+            if last and abs(d - last[0]) <= gap and min(at) - max(last[1]) <= gap + 1 and min(at) - d > max(last[1]) - last[0]:
+                groups[-1] += at
+            else:
+                groups.append(list(at))
+            last = (d, at)
+        out += [(label, min(g), max(g) + 2, len(g) / (len(t) - 1)) for g in groups if len(g) / (len(t) - 1) >= cover]
+    return sorted(out)
+
+
+def test_license_spans_equal_brute_force(spark, odd):
+    r = random.Random(5)
+    texts = []
+    for t in licenses.TEMPLATES:  # copies with words left out, put in and repeated
+        for _ in range(6):
+            w = [x for x in t.split() if r.random() > 0.05]
+            for _ in range(r.randint(0, 3)):
+                w.insert(r.randint(0, len(w)), r.choice(["kindly", "or", "license", "the"]))
+            texts.append(" ".join(["lead", *w, *r.choice([[], w, ["far"] * 5 + w])]))
+    docs = spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string").unionAll(odd.select("doc_id", "text"))
+    short = {"foo bar baz": "foo", "foo bar": "two"}
+    for templates, cover, df in [(licenses.TEMPLATES, 0.8, docs), (short, 0.5, spark.createDataFrame([(1, "foo bar"), (2, "foo bar " * 6), (3, "foo x bar baz foo bar")], "doc_id long, text string"))]:
+        got = licenses.scan(df, templates=templates, cover=cover).collect()
+        want = Counter()
+        for x in df.select("doc_id", "text").collect():
+            base = {v for p, v in licenses.PHRASES.items() if f" {p} " in f" {' '.join(re.findall(licenses.WORD, low(x.text)))} "}
+            own = spans_by_brute_force(x.text, templates, cover=cover)
+            want[x.doc_id, ",".join(sorted(base | {s[0] for s in own})), 1.0 if base else max((s[3] for s in own), default=0.0)] += 1
+        assert Counter((x.doc_id, x.labels, x.score) for x in got) == want
+    assert {x.doc_id: x.labels for x in got} == {1: "foo,two", 2: "foo,two", 3: "foo,two"}
+
+
 def test_license_spans_survive_edits(spark):
     notice = [t for t, v in licenses.TEMPLATES.items() if v == "bsd"][0].split()
     edited = " ".join(["x y", *notice[:8], "kindly", *notice[8:], "z"])
