@@ -1,20 +1,40 @@
-"""Cutting lineage in the shared checkpoint folder."""
+"""Cutting lineage in the shared checkpoint folder, and global positions without a task that holds all rows."""
 
 from __future__ import annotations
 
 import tempfile
+from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
     """df computed once and kept in spark.checkpoint.dir, so later plans read it, also after executors are lost.
 
-    Only where no folder is set (tests) a temporary one is.
+    Where no folder is set a local master (tests) gets a temporary one; any other master raises.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="siftwell-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def positions(df: DataFrame, *order: Column | str, name: str = "place", total: str | None = None) -> DataFrame:
+    """df with the place (from 0) of each row by `order`, and with `total` the number of rows.
+
+    Rows are sorted over range partitions; only each partition's count comes to the driver.
+    """
+    placed = saved(df.orderBy(*order).withColumn("at_", F.monotonically_increasing_id()))
+    part = F.shiftright("at_", 33).cast("int")
+    sizes = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = list(accumulate((n for _, n in sizes), initial=0))
+    offsets = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "part_ int, before_ long")
+    out = placed.join(F.broadcast(offsets), part == F.col("part_")).withColumn(name, F.col("before_") + F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)))
+    if total:
+        out = out.withColumn(total, F.lit(before[-1]).cast("long"))
+    return out.drop("at_", "part_", "before_")
