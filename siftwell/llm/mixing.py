@@ -9,8 +9,10 @@ residual of a leaf goes up a tree of that arity to the root of its source. So th
 a source hit n * p but for less than one, in every size class of it too, and a source of any
 size is spread over its leaves. Draws are hashes of the rows, so reruns agree.
 
-Null text has size 0; null source is a source of its own, the last; null ids are allowed;
-equal rows are rounded one by one. Documents of size 0 are never taken; no rows give none.
+Rows equal in id, source and size are one item: of n such rows the whole part of n * p takes
+one copy more at once, and only the rest goes through the tree, so repeated rows never meet in
+one leaf. Null text has size 0; null source is a source of its own, the last; null ids are
+allowed. Documents of size 0 are never taken; no rows give none.
 """
 
 from __future__ import annotations
@@ -21,26 +23,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm._spark import saved
+from siftwell.plans.lineage import positions
 
 ARITY = 32
 WEIGHTS = (5, 2, 1)
 TINY = 1e-9
+#: Equal rows that one task expands at once.
+CHUNK = 1 << 16
+#: Of an item: `n` equal rows, of which `more` have one copy more than the whole part at any rate.
+ITEM = ["size", "u", "doc_id", "n", "more"]
 
 
 def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Adds target to (source, source_size): weights repeat by code point order, null last. One row for each source.
 
-    With sources ordered by cap / weight, the level to which the uncapped rise is the
-    largest of (total - caps before) / (weights from here on).
+    The level is the words a unit of weight gets. While it lifts more sources above their cap, it rises by what they leave.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    ranked = sources.withColumn("w", w).withColumn("cap", F.col("source_size") * most).withColumn("total", F.sum("source_size").over(Window.partitionBy()) * share)
-    by = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    after = F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing))
-    level = ranked.withColumn("level", (F.col("total") - before) / after).withColumn("level", F.max("level").over(Window.partitionBy()))
-    return level.select("source", "source_size", F.least("cap", F.col("level") * F.col("w")).alias("target"))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    ranked = saved(positions(sources, F.col("source").asc_nulls_last()).withColumn("w", w).withColumn("cap", F.col("source_size") * most).drop("place"))
+    total = (ranked.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, before = 0.0, -1.0
+    while level > before:
+        before = level
+        full = F.col("cap") <= F.col("w") * level
+        caps, rest = ranked.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0))).first()
+        level = max(level, (total - caps) / rest) if rest else level
+    return ranked.select("source", "source_size", F.least("cap", F.lit(level) * F.col("w")).alias("target"))
 
 
 def _uniform(*parts: Column | str) -> Column:
@@ -48,9 +56,9 @@ def _uniform(*parts: Column | str) -> Column:
 
 
 def _pivot(items: Column, seed: int) -> Column:
-    """Folds an array of struct(size, u, doc_id, p) into struct(done: their structs with the rounded p, left: at most one residual)."""
+    """Folds an array of struct(size, u, doc_id, n, more, p) into struct(done: their structs with the rounded p, left: at most one residual)."""
     pair = lambda done, left: F.struct(done.alias("done"), left.alias("left"))
-    to = lambda x, p: F.struct(x["size"].alias("size"), x["u"].alias("u"), x["doc_id"].alias("doc_id"), p.alias("p"))
+    to = lambda x, p: F.struct(*[x[c].alias(c) for c in ITEM], p.alias("p"))
     start = pair(F.slice(items, 1, 0), F.filter(items, lambda x: F.lit(False)))
 
     def step(acc: Column, x: Column) -> Column:
@@ -70,38 +78,42 @@ def _pivot(items: Column, seed: int) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every row of docs."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
     sized = saved(sized.withColumn("u", F.xxhash64("doc_id", "source", "size", F.lit(seed))).withColumn("band", F.when(F.col("size") > 0, F.floor(F.log2("size") * 8)).otherwise(-1).cast("int")))
-    bands = saved(sized.groupBy("source", "band").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    bands = saved(sized.groupBy("source", "band").agg(F.count("*").alias("items"), F.sum(F.col("size") * F.col("n")).alias("words"), F.max("n").alias("most")))
     goals = targets(bands.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, weights)
     p = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     whole = F.floor(p + TINY)
-    goals = goals.select(F.col("source").alias("s"), "source_size", "target", whole.alias("base"), F.greatest(p - whole, F.lit(0.0)).alias("p"))
-    leaves = F.ceil(F.col("n") / ARITY)
+    goals = saved(goals.select(F.col("source").alias("s"), "source_size", "target", whole.alias("base"), F.greatest(p - whole, F.lit(0.0)).alias("each")))
+    leaves = F.ceil(F.col("items") / ARITY)
     up = Window.partitionBy("source").orderBy("band")
     plan = bands.where("band >= 0").select(F.col("source").alias("b"), F.col("band").alias("band_"), leaves.alias("leaves"), (F.sum(leaves).over(up) - leaves).alias("offset"))
     plan = saved(plan.join(goals, F.col("b").eqNullSafe(F.col("s"))).drop("s"))
-    empty = saved(goals)
-    deepest = plan.where(f"p > {TINY}").agg(F.max(F.col("offset") + F.col("leaves"))).first()[0] or 0
+    deepest = plan.where(f"each > {TINY}").agg(F.max(F.col("offset") + F.col("leaves"))).first()[0] or 0
     rows = sized.where("band >= 0").join(plan, F.col("source").eqNullSafe(F.col("b")) & (F.col("band") == F.col("band_")))
-    item = F.struct("size", "u", "doc_id", "p")
+    mass = F.col("n") * F.col("each")
+    rows = rows.withColumn("more", F.least(F.floor(mass + TINY), F.col("n"))).withColumn("p", F.greatest(mass - F.col("more"), F.lit(0.0)))
     key = ["source", "source_size", "target", "base"]
-    whole_only = rows.where(f"p <= {TINY}").select(*key, F.struct("size", "u", "doc_id", F.lit(0.0).alias("p")).alias("x"))
-    zero = sized.where("band < 0").join(empty, F.col("source").eqNullSafe(F.col("s")), "left").select(*key, F.struct("size", "u", "doc_id", F.lit(0.0).alias("p")).alias("x"))
-    decided = [whole_only, zero]
-    level = rows.where(f"p > {TINY}").select(*key, (F.col("offset") + F.pmod("u", F.col("leaves"))).alias("node"), item.alias("x"), F.lit(0).cast("long").alias("at"))
+    certain = F.struct(*ITEM, F.lit(0.0).alias("p")).alias("x")
+    zero = sized.where("band < 0").join(goals, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("more", F.lit(0).cast("long"))
+    out = rows.where(f"p <= {TINY}").select(*key, certain).unionAll(zero.select(*key, certain))
+    level = rows.where(f"p > {TINY}").select(*key, (F.col("offset") + F.pmod("u", F.col("leaves"))).alias("node"), F.struct(*ITEM, "p").alias("x"), F.lit(0).cast("long").alias("at"))
     depth = 1 + (math.ceil(math.log(deepest, ARITY) + 1e-9) if deepest > 1 else 0)
     for i in range(depth if deepest else 0):
         folded = level.groupBy(*key, "node").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs"))
         folded = saved(folded.select(*key, "node", _pivot(F.col("xs.x"), seed + i).alias("f")))
-        decided.append(folded.select(*key, F.explode("f.done").alias("x")))
+        out = out.unionAll(folded.select(*key, F.explode("f.done").alias("x")))
         left = folded.select(*key, F.col("node").alias("at"), F.explode("f.left").alias("x"))
         level = left.select(*key, F.floor(F.col("at") / ARITY).alias("node"), "x", "at")
     if deepest:
         last = (_uniform("x.u", F.lit(seed)) < F.col("x.p")).cast("double")
-        decided.append(level.select(*key, F.struct(F.col("x.size"), F.col("x.u"), F.col("x.doc_id"), last.alias("p")).alias("x")))
-    out = decided[0]
-    for more in decided[1:]:
-        out = out.unionAll(more)
-    copies = (F.coalesce("base", F.lit(0)) + F.col("x.p")).cast("long")
-    return out.select(F.col("x.doc_id").alias("doc_id"), "source", F.col("x.size").alias("size"), F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"), (copies * F.col("x.size")).alias("taken"))
+        out = out.unionAll(level.select(*key, F.struct(*[F.col(f"x.{c}") for c in ITEM], last.alias("p")).alias("x")))
+    # an item is its equal rows again; very many of them go in chunks, dealt anew
+    flat = out.select("source", "source_size", "target", "base", *[F.col(f"x.{c}").alias(c) for c in (*ITEM, "p")])
+    one = flat.where("n = 1").withColumn("i", F.lit(0).cast("long"))
+    pieces = flat.where("n > 1").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+    if (bands.agg(F.max("most")).first()[0] or 0) > CHUNK:
+        pieces = pieces.repartition("piece", "u")
+    one = one.unionAll(pieces.withColumn("i", F.explode(F.sequence(F.col("piece") * CHUNK, F.least(F.col("n"), (F.col("piece") + 1) * CHUNK) - 1))).drop("piece"))
+    copies = (F.coalesce("base", F.lit(0)) + (F.col("i") < F.col("more") + F.col("p")).cast("int")).cast("long")
+    return one.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))

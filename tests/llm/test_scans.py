@@ -122,6 +122,22 @@ def test_mixing(spark, odd):
         assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in got)
 
 
+def test_mixing_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 100)
+    rows = [(None, "w " * 3, "a")] * 1001 + [(7, "w w", "a")] * 3 + [(i, "w " * (i % 5), "b") for i in range(500)]
+    df = spark.createDataFrame([(i, t, "en", s, 0, 9, 9) for i, t, s in rows], SCHEMA)
+    got = mixing.mix(df).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((i, s, len(t.split())) for i, t, s in rows)
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 5
+        assert max(r.copies for r in own) - min(r.copies for r in own if r.size) <= 1
+    # of equal rows all but one item's residual are certain
+    equal = [r.copies for r in got if r.doc_id is None]
+    each = got[0].target / got[0].source_size if got[0].source == "a" else next(r.target / r.source_size for r in got if r.source == "a")
+    assert abs(sum(equal) - 1001 * each) < 1
+
+
 def test_licenses(spark, odd):
     for df in both(spark, odd):
         got = licenses.scan(df).collect()
