@@ -1,14 +1,19 @@
 """Toxicity by a counterfactually regularised logistic classifier over the words of a text.
 
 Features are the presence of hashed words; those that part the classes best are kept, and
-every identity term. For each labelled text that names a group, the term is swapped for the
-others of its kind and the squared change of the score (its logit) is added to the loss, so
-naming a group can't by itself make a text toxic. Fitted on at most `most` labelled rows of
+every word of an identity term. In each labelled text that names a group, each term found (of one word or
+two) is swapped for each other of its kind, and the squared change of the score (its logit)
+between the text and its swapped versions is added to the loss, averaged over a text's versions and over all texts with any: naming a
+group can't by itself make a text toxic. Fitted on at most `most` labelled ids of
 each class, taken in the order of a hash of their ids; every text is then scored whole.
 
+Rows of one labelled id train once, with the text of the least hash. Words are counted and the
+features chosen by a distributed aggregate; what comes to the driver is a row for each training
+text, with feature numbers only, so it is bounded by `most` and `features`, not by the texts' length.
+
 Null and empty texts get the score of the intercept. Each input row gives one row, repeated
 rows and null ids too. Labels that differ for one id count as toxic. Without labels of both
-classes every score is the share of toxic labels, 0 without labels.
+classes, or a word that tells them apart, every score is the share of toxic labels, 0 without labels.
 """
 
 from __future__ import annotations
@@ -21,19 +26,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import _text as T
+from siftwell.llm._spark import saved
 
-#: Labelled rows of each class to fit on at most.
+#: Labelled ids of each class to fit on at most.
 MOST = 4000
 FEATURES = 2048
+#: Standard errors that a word's shares in the two classes must differ by to be a feature; chosen on folds of the training rows.
+TELLING = 3
 
 #: Identity terms by kind; a term is swapped for the others of its kind.
 IDENTITY = {
-    "gender": "women men girls boys woman man trans transgender female male",
-    "religion": "muslim muslims jewish jews christian christians hindu hindus buddhist buddhists atheist atheists",
-    "origin": "african asian european american mexican arab immigrant immigrants refugee refugees black white latino",
-    "orientation": "gay lesbian straight bisexual queer homosexual heterosexual",
-    "ability": "deaf blind disabled autistic",
-    "age": "old young elderly teenagers",
+    "gender": ["women", "men", "girls", "boys", "woman", "man", "trans", "transgender", "female", "male", "trans women", "trans men"],
+    "religion": ["muslim", "muslims", "jewish", "jews", "christian", "christians", "hindu", "hindus", "buddhist", "buddhists", "atheist", "atheists"],
+    "origin": ["african", "asian", "european", "american", "mexican", "arab", "immigrant", "immigrants", "refugee", "refugees", "black", "white", "latino", "african american", "asian american", "native american"],
+    "orientation": ["gay", "lesbian", "straight", "bisexual", "queer", "homosexual", "heterosexual"],
+    "ability": ["deaf", "blind", "disabled", "autistic"],
+    "age": ["old", "young", "elderly", "teenagers"],
 }
 
 
@@ -51,77 +59,128 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def train(sets: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, swap_weight: float = 1.0, ridge: float = 1e-4, steps: int = 400) -> Model:
-    """Fits on word sets (sorted distinct hashes) in memory."""
-    labels = np.asarray(labels, float)
-    if not len(labels) or labels.min() == labels.max():
-        share = float(np.clip(labels.mean() if len(labels) else 0.0, 0, 1))
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))) if 0 < share < 1 else (500.0 if share == 1 else -500.0))
-    kinds = {name: np.array([T.hash_word(x) for x in terms.split()], np.uint64) for name, terms in IDENTITY.items()}
-    named = np.unique(np.concatenate(list(kinds.values())))
-    each = [np.unique(np.concatenate([s for s, y in zip(sets, labels, strict=True) if y == v] or [np.zeros(0, np.uint64)]), return_counts=True) for v in (0, 1)]
-    every = np.union1d(each[0][0], each[1][0])
-    df = np.zeros((2, len(every)))
-    for v in (0, 1):
-        df[v, np.searchsorted(every, each[v][0])] = each[v][1]
-    n = np.array([(labels == 0).sum(), (labels == 1).sum()])[:, None]
-    share, pooled = df / n, df.sum(0) / n.sum()
-    z = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0, 0] + 1 / n[1, 0]) + 1e-12)
-    z[df.sum(0) < min(4, n.min())] = 0
-    best = np.argsort(-z, kind="stable")[:features]
-    keep = np.union1d(every[best[z[best] > 2]], named)
-    x = np.zeros((len(sets), len(keep)), np.float32)
-    for i, s in enumerate(sets):
-        at, there = T.find(keep, s)
-        x[i, at[there]] = 1
-    # a swap changes the logit by the difference of two weights: gather how often each would be made
-    swaps: dict[tuple[int, int], float] = {}
-    for terms in kinds.values():
-        at = np.searchsorted(keep, terms)
-        for a in at:
-            if (seen := float(x[:, a].sum())) > 0:
-                for b in at:
-                    if a != b:
-                        swaps[a, b] = swaps.get((a, b), 0) + seen / (len(at) - 1)
-    a, b = (np.array([k[i] for k in swaps], np.int64) for i in (0, 1))
-    c = np.array(list(swaps.values())) / max(1.0, sum(swaps.values()))
-    balance = np.where(labels == 1, n.sum() / 2 / n[1, 0], n.sum() / 2 / n[0, 0])
-    weights, bias = np.zeros(len(keep)), 0.0
-    step_w, step_b = np.zeros(len(keep)), 0.0
-    seen_w, seen_b = np.full(len(keep), 1e-8), 1e-8
+def _kinds() -> list[list[np.ndarray]]:
+    return [[np.array([T.hash_word(w) for w in term.split()], np.uint64) for term in terms] for terms in IDENTITY.values()]
+
+
+def swaps(h: np.ndarray, kinds: list[list[np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words that go, words that come) of each version of a text, given as its word hashes in order, with one of its terms swapped for another of its kind."""
+    for terms in kinds:
+        for term in terms:
+            at = np.flatnonzero(np.logical_and.reduce([h[i : len(h) - len(term) + 1 + i] == w for i, w in enumerate(term)])) if len(h) >= len(term) else np.zeros(0, int)
+            if not len(at):
+                continue
+            out = np.zeros(len(h), bool)
+            for i in range(len(term)):
+                out[at + i] = True
+            left = np.unique(h[~out])
+            gone = term[~np.isin(term, left)]
+            for other in terms:
+                if other is not term:
+                    yield gone[~np.isin(gone, other)], np.unique(other[~np.isin(other, left) & ~np.isin(other, gone)])
+
+
+class Changes:
+    """Versions of texts as the features they change: entries (version, feature, sign), and the weight of each version."""
+
+    def __init__(self, version: np.ndarray, feature: np.ndarray, sign: np.ndarray, weight: np.ndarray):
+        self.version, self.feature, self.sign, self.weight = version, feature, sign, weight
+
+    def of(self, weights: np.ndarray) -> np.ndarray:
+        """The change of the logit in each version."""
+        return np.bincount(self.version, self.sign * weights[self.feature], minlength=len(self.weight))
+
+    def gradient(self, weights: np.ndarray) -> np.ndarray:
+        """Of the weighted sum of squared changes."""
+        return np.bincount(self.feature, (2 * self.weight * self.of(weights))[self.version] * self.sign, minlength=len(weights))
+
+
+def train(x: np.ndarray, labels: np.ndarray, changes: Changes, swap_weight: float = 1.0, ridge: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+    """(weights, bias) from the presence x [texts, features] and the versions of the texts. Both classes must be there."""
+    n = np.bincount(labels.astype(int), minlength=2)
+    balance = np.where(labels == 1, n.sum() / 2 / n[1], n.sum() / 2 / n[0])
+    weights, bias = np.zeros(x.shape[1]), 0.0
+    step_w, step_b = np.zeros(x.shape[1]), 0.0
+    seen_w, seen_b = np.full(x.shape[1], 1e-8), 1e-8
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ weights.astype(np.float32) + bias, -50, 50)))
         g = (balance * (p - labels)) / len(labels)
-        grad, grad_b = x.T @ g.astype(np.float32) + ridge * weights, g.sum()
-        gap = 2 * swap_weight * c * (weights[a] - weights[b]) if len(a) else np.zeros(0)
-        np.add.at(grad, a, gap)
-        np.add.at(grad, b, -gap)
+        grad, grad_b = x.T @ g.astype(np.float32) + ridge * weights + swap_weight * changes.gradient(weights), g.sum()
         # Adam
         step_w, step_b = 0.9 * step_w + 0.1 * grad, 0.9 * step_b + 0.1 * grad_b
         seen_w, seen_b = 0.99 * seen_w + 0.01 * grad**2, 0.99 * seen_b + 0.01 * grad_b**2
         weights -= 0.05 * step_w / np.sqrt(seen_w)
         bias -= 0.05 * step_b / np.sqrt(seen_b)
-    return Model(keep, weights, float(bias))
+    return weights, float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, **more) -> Model:
-    """A model from docs and labels(doc_id, toxic), at most `most` rows of each class."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, features: int = FEATURES, **more) -> Model:
+    """A model from docs and labels(doc_id, toxic), at most `most` ids of each class."""
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     few = labels.where("toxic = 1").orderBy(*order).limit(most).unionAll(labels.where("toxic <> 1").orderBy(*order).limit(most))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    few = few.select("doc_id", (F.col("toxic") == 1).alias("toxic"))
+    labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "doc_id")
+    one = saved(labelled.groupBy("doc_id").agg(F.any_value("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("toxic", "text"))
+    size = {r.toxic: r.n for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(size) < 2:
+        logit = {(): -500.0, (False,): -500.0, (True,): 500.0}[tuple(size)]
+        return Model(np.zeros(0, np.uint64), np.zeros(0), logit)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            toxic = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
+            for low, data, offsets in T.slices(batch.column(1)):
+                w = T.words(data, offsets, T.ALNUM_WORD)
+                h, row = T.word_hashes(w), w.row
+                order = np.lexsort((row, h))
+                h, row = h[order], row[order]
+                fresh = np.ones(len(h), bool)
+                fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                h, is_toxic = h[fresh], toxic[low + row[fresh]]
+                keys, at = np.unique(h, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(keys)), pa.array(np.bincount(at, ~is_toxic, len(keys)).astype(np.int64)), pa.array(np.bincount(at, is_toxic, len(keys)).astype(np.int64))], names=["h", "clean", "toxic"])
+
+    df = one.mapInArrow(words, "h long, clean long, toxic long").groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    clean, toxic, n = size[False], size[True], size[False] + size[True]
+    pooled = (F.col("clean") + F.col("toxic")) / n
+    z = F.abs(F.col("toxic") / toxic - F.col("clean") / clean) / F.sqrt(pooled * (1 - pooled) * (1 / clean + 1 / toxic) + 1e-12)
+    best = df.where(F.col("clean") + F.col("toxic") >= min(4, clean, toxic)).withColumn("z", z).where(f"z > {TELLING}").orderBy(F.desc("z"), "h").limit(features)
+    telling = np.array([r.h for r in best.select("h").collect()], np.int64).view(np.uint64)
+    if not len(telling):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(toxic / clean)))
+    kinds = _kinds()
+    keep = np.unique(np.concatenate([telling, *[t for terms in kinds for t in terms]]))
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there, changed = [], []
             for _, data, offsets in T.slices(batch.column(1)):
                 w = T.words(data, offsets, T.ALNUM_WORD)
                 h, ends = T.word_hashes(w), np.searchsorted(w.row, np.arange(w.rows), "right")
-                out += [np.unique(part).tobytes() for part in np.split(h, ends[:-1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["toxic", "words"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "doc_id")
-    found = sorted((bytes(r.words), int(r.toxic == 1)) for r in rows.select("toxic", "text").mapInArrow(run, "toxic int, words binary").collect())
-    return train([np.frombuffer(w, np.uint64) for w, _ in found], np.array([y for _, y in found]), **more)
+                for own in np.split(h, ends[:-1]):
+                    at, known = T.find(keep, own)
+                    there.append(np.unique(at[known]).astype(np.int32))
+                    entries = []
+                    for v, (gone, come) in enumerate(swaps(own, kinds)):
+                        entries += [(v, f, -1) for f in np.searchsorted(keep, gone)] + [(v, f, 1) for f in np.searchsorted(keep, come)]
+                    changed.append(np.array(entries, np.int32).reshape(-1, 3).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(there, pa.list_(pa.int32())), pa.array(changed, pa.list_(pa.int32()))], names=["toxic", "there", "changed"])
+
+    found = sorted((r.toxic, r.there, r.changed) for r in one.mapInArrow(bags, "toxic boolean, there array<int>, changed array<int>").collect())
+    x = np.zeros((len(found), len(keep)), np.float32)
+    parts, weight, versions = [], [], 0
+    for i, (_, there, changed) in enumerate(found):
+        x[i, there] = 1
+        entries = np.array(changed, np.int64).reshape(-1, 3)
+        if len(entries):
+            count = entries[:, 0].max() + 1
+            parts.append(entries + [versions, 0, 0])
+            weight.append(np.full(count, 1 / count))
+            versions += count
+    entries = np.concatenate([*parts, np.zeros((0, 3), np.int64)])
+    changes = Changes(*entries.T, np.concatenate([*weight, np.zeros(0)]) / max(1, len(parts)))
+    return Model(keep, *train(x, np.array([float(t) for t, _, _ in found]), changes, **more))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

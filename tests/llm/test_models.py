@@ -9,7 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell.llm import _text as T
 from siftwell.llm import decontamination, embeddings, lm, resampling, toxicity, warc
+from siftwell.llm.queries import held_out
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, h long"
 
@@ -46,20 +48,78 @@ def test_toxicity(spark, odd):
     assert toxicity.score(odd, toxicity.fit(odd, labels), keep=odd.columns).columns == odd.columns
 
 
-def test_swaps_lower_the_weight_of_a_group():
-    def words(s):
-        from siftwell.llm import _text as T
-        return np.unique(np.array([T.hash_word(w) for w in s.split()], np.uint64))
+def hashes(s):
+    return np.array([T.hash_word(w) for w in s.split()], np.uint64)
 
+
+def test_swaps_are_those_of_the_sentence():
+    def by_hand(s, kinds):
+        # every version of the sentence, as the sets of words that it loses and gains
+        words, out = s.split(), []
+        for terms in kinds:
+            for term in (t for t in terms if f" {t} " in f" {s} "):
+                for other in (t for t in terms if t != term):
+                    version = f" {s} ".replace(f" {term} ", f" {other} ").split()
+                    out.append((frozenset(set(words) - set(version)), frozenset(set(version) - set(words))))
+        return Counter(out)
+
+    kinds = [["gay", "straight"], ["trans women", "women", "men"]]
+    name = {int(hashes(w)[0]): w for w in "gay straight trans women men are kind".split()}
+    for s in ("gay are kind", "kind trans women are kind", "trans are women", "women are men", "gay straight are", "are", ""):
+        got = Counter((frozenset(name[int(x)] for x in gone), frozenset(name[int(x)] for x in come)) for gone, come in toxicity.swaps(hashes(s), [[hashes(t) for t in terms] for terms in kinds]))
+        assert got == by_hand(s, kinds), s
+
+
+def test_swaps_lower_the_weight_of_a_group(spark):
     texts = [("gay people are scum", 1), ("gay people are idiots", 1), ("the weather is fine", 0), ("people are fine here", 0), ("scum and idiots", 1), ("bread is here", 0)] * 10
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
     gap = []
     for weight in (0.0, 50.0):
-        m = toxicity.train([words(t) for t, _ in texts], np.array([y for _, y in texts]), swap_weight=weight)
+        m = toxicity.fit(docs, labels, swap_weight=weight)
         w = {int(h): x for h, x in zip(m.features, m.weights, strict=True)}
-        gap.append(abs(w[int(words("gay")[0])] - w[int(words("straight")[0])]))
+        gap.append(abs(w[int(hashes("gay")[0])] - w[int(hashes("straight")[0])]))
     assert gap[1] < gap[0] / 2
 
 
+def test_toxicity_gradient_equals_differences():
+    r = np.random.RandomState(1)
+    changes = toxicity.Changes(r.randint(0, 7, 20), r.randint(0, 5, 20), r.choice([-1, 1], 20), r.rand(7))
+    w, loss = r.randn(5), lambda w: float((changes.weight * changes.of(w) ** 2).sum())
+    for i in range(5):
+        e = np.eye(5)[i] * 1e-5
+        assert np.isclose(changes.gradient(w)[i], (loss(w + e) - loss(w - e)) / 2e-5, rtol=1e-5)
+
+
+def test_toxicity_of_held_out_rows_and_neutral_mentions(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(~held_out(5, 0)))
+    held = docs.where(held_out(5, 0)).join(labels.where("toxic is not null"), "doc_id")
+    rows = toxicity.score(held.select("doc_id", "text"), model).join(labels, "doc_id").collect()
+    assert sum(r.predicted == r.toxic for r in rows) >= 0.95 * len(rows) > 0
+    weight = {int(h): w for h, w in zip(model.features, model.weights, strict=True)}
+    for r, p in zip(sorted(held.select("doc_id", "text").collect())[:200], sorted((x.doc_id, x.score) for x in rows), strict=False):
+        words = set(re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in r.text or "")))
+        assert r.doc_id == p[0] and math.isclose(p[1], 1 / (1 + math.exp(-model.bias - sum(weight.get(int(hashes(w)[0]), 0.0) for w in words))), abs_tol=1e-9)
+    neutral = [f"{lead} {term} {tail}" for terms in toxicity.IDENTITY.values() for term in terms for lead, tail in [("the", "people of this town met on monday"), ("my", "neighbour baked bread"), ("a report on", "voters was read aloud")]]
+    found = toxicity.score(spark.createDataFrame(list(enumerate(neutral)), "doc_id long, text string"), model)
+    assert found.where("predicted = 1").count() <= 0.01 * len(neutral)
+
+
+def test_toxicity_trains_on_labelled_ids_once(spark):
+    docs = spark.createDataFrame([(1, "bad words")] * 500 + [(1, "other text")] * 500 + [(i, f"fine day {i}") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] + [(i, 0) for i in range(2, 60)], "doc_id long, toxic int")
+    seen = []
+    train = toxicity.train
+    toxicity.train = lambda x, *a, **k: seen.append(x.shape) or train(x, *a, **k)
+    try:
+        toxicity.fit(docs, labels, most=10)
+    finally:
+        toxicity.train = train
+    assert seen[0][0] == 11
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/ b", "x"), (3, None, "x"), (3, "u", "x"), (2, "u", "x"), (5, "u", None), (6, "u", ""), (None, "u", "x"), (7, "u", "é" * 50000)]
     df = spark.createDataFrame([(*r, 9) for r in rows], "page_id long, url string, html string, row int")
