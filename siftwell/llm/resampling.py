@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm import _text as T
 from siftwell.llm._spark import saved
+from siftwell.plans.lineage import positions
 
 BUCKETS = 10_000
 #: Labelled good documents in the target model at most.
@@ -80,8 +81,12 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 1024) -> float:
             k -= r.n
     if low == high:
         return low
-    values = [r[0] for r in df.where(F.col(col).between(low, high)).groupBy(col).count().orderBy(F.desc(col)).limit(bins).collect() for _ in range(r[1])]
-    return values[k - 1]
+    # no more than a few doubles lie so close together
+    for value, n in df.where(F.col(col).between(low, high)).groupBy(col).count().orderBy(F.desc(col)).collect():
+        if n >= k:
+            return value
+        k -= n
+    raise ValueError("fewer values than k")
 
 
 def resample(docs: DataFrame, labels: DataFrame, rate: float | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, most_target: int = MOST_TARGET, seed: int = 11) -> DataFrame:
@@ -112,5 +117,5 @@ def resample(docs: DataFrame, labels: DataFrame, rate: float | None = None, id_c
         return scored.limit(0).withColumn("kept", F.lit(True))
     cut = kth_largest(scored, "gumbel_key", k)
     above = scored.where(F.col("gumbel_key") > cut)
-    ties = scored.where(F.col("gumbel_key") == cut).orderBy("doc_id").limit(k - above.count())
+    ties = positions(scored.where(F.col("gumbel_key") == cut), "doc_id").where(F.col("place") < k - above.count()).drop("place")
     return above.unionAll(ties).withColumn("kept", F.lit(True))
