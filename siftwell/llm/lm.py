@@ -1,7 +1,8 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation, over a word-level tail.
 
 The vocabulary of the neural part is the `vocabulary - 3` most frequent training words, a class
-for all other words, the end of a text, and the start (in contexts only). Counts of all
+for all other words, the end of a text, and the start (in contexts only); unless given it grows as
+twice the cube root of the training tokens, from LEAST to MOST_VOCABULARY, which bounds its tables. Counts of all
 (two words before, word) triples of all training texts are gathered by a distributed
 aggregate, and all of them train the model in numpy on the executors. Products of the trained
 matrices give the scores of every word after every context, and so the normaliser of each of
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from siftwell.llm import _text as T
 from siftwell.llm._spark import saved
 
-VOCABULARY, HOT = 512, 1 << 18
+LEAST, MOST_VOCABULARY, HOT = 512, 2048, 1 << 18
 #: Distinct triples that one task learns from, about.
 SHARD = 1 << 19
 OTHER, END, START = 0, 1, 2
@@ -84,15 +85,19 @@ def arrays(df: DataFrame) -> list[np.ndarray]:
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows of counts(h, n) in as many of the upper bands of n as hold `most` rows at most; no rows are sorted."""
+    """The end, and the words of the upper bands of n that hold `most` rows at most; of the band below, the share by hash that fills up. No rows are sorted."""
     band = F.floor(F.log2("n") * 8).cast("int")
-    sizes, cut, held = dict(tuple(r) for r in counts.groupBy(band).count().collect()), 1 << 20, 0
+    sizes, cut, held, share = dict(tuple(r) for r in counts.groupBy(band).count().collect()), 1 << 20, 0, 0.0
     for b in sorted(sizes, reverse=True):
-        held += sizes[b]
-        if held > most:
+        if held + sizes[b] > most:
+            share = (most - held) / sizes[b]
             break
-        cut = b
-    return counts.where(band >= cut)
+        held, cut = held + sizes[b], b
+    filling = F.lit(False)
+    if share:
+        below = max((b for b in sizes if b < cut), default=0)
+        filling = (band == below) & (F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return counts.where((band >= cut) | filling | (F.col("h") == int(END_HASH)))
 
 
 class Hot:
@@ -126,7 +131,7 @@ class Hot:
         return h, row, ids, one, two, at, there
 
 
-def train(triples: DataFrame, vocabulary: int = VOCABULARY, dim: int = 32, noise: int = 64, epochs: int = 3, batch: int = 256, seed: int = 3, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def train(triples: DataFrame, vocabulary: int, dim: int = 32, noise: int = 64, epochs: int = 3, batch: int = 256, seed: int = 3, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(scores after one before, scores after two before, bias, log normaliser of [two, one]) from all rows of triples(code, n), with codes (two * V + one) * V + word.
 
     Each epoch passes over every row, whose gradient counts n times. A row above the mean count is cut into pieces of
@@ -208,12 +213,12 @@ def train(triples: DataFrame, vocabulary: int = VOCABULARY, dim: int = 32, noise
     return after_one, after_two, b, normaliser
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, hot: int = HOT, dim: int = 32, epochs: int = 3, seed: int = 3) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, hot: int = HOT, dim: int = 32, epochs: int = 3, seed: int = 3) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of docs, learning from the rows where `training` holds."""
-    v = vocabulary
     texts = docs.where(training).select(F.col(text_col).alias("text"))
     counts = saved(word_counts(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    v = vocabulary or min(MOST_VOCABULARY, max(LEAST, round(2 * total ** (1 / 3))))
     table = Hot(*arrays(most_frequent(counts, hot).select("h", "n")), v)
     # words outside the neural vocabulary share the mass of their class by count + 1, and 1 for unseen ones
     inside = (table.ids != OTHER) | (table.h == END_HASH)

@@ -31,6 +31,38 @@ def test_resampling(spark, odd):
     assert resampling.resample(odd.limit(0), labels).count() == 0
 
 
+def buckets_of(text):
+    """Hashed unigrams and bigrams, by regular expression and one hash at a time."""
+    h = [T.hash_word(w) for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\x20\x09-\x0d]+", text or "")]
+    two = [int(T.mix(np.array([(a * 3 + b) % (1 << 64)], np.uint64))[0]) for a, b in zip(h, h[1:], strict=False)]
+    return [x % resampling.BUCKETS for x in h + two]
+
+
+@pytest.mark.parametrize("rate", [None, 0.3])
+def test_resampling_equals_brute_force(spark, odd, rate):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionAll(docs.where("doc_id % 9 = 0")).unionAll(odd.where("doc_id < 5").select(-F.col("doc_id"), "text"))  # repeated rows tie
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", F.lit(1).alias("u"))
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(11)).alias("u")).collect()
+    raw, target = np.ones(resampling.BUCKETS), np.ones(resampling.BUCKETS)
+    for r in rows:
+        for b in buckets_of(r.text):
+            raw[b] += 1
+            target[b] += r.doc_id in good
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    keyed = []
+    for r in rows:
+        weight = sum(ratio[b] for b in buckets_of(r.text))
+        keyed.append((weight - math.log(-math.log((r.u % (1 << 52) + 0.5) / (1 << 52))), r.doc_id, len(buckets_of(r.text)), weight))
+    share = labels.where("quality is not null").agg(F.avg("quality")).first()[0] if rate is None else rate
+    want = sorted(keyed, key=lambda x: (-x[0], x[1]))[: round(share * len(rows))]
+    got = resampling.resample(docs, labels, rate).collect()
+    assert Counter((r.doc_id, r.n_grams) for r in got) == Counter((i, n) for _, i, n, _ in want)
+    assert np.allclose(sorted(r.log_weight for r in got), sorted(w for *_, w in want)) and np.allclose(sorted(r.gumbel_key for r in got), sorted(k for k, *_ in want))
+
+
 def test_embeddings(spark):
     a = [1.0, 0.0, 0.0]
     rows = [(1, a, 0), (2, a, 0), (2, a, 0), (3, [1.0, 0.01, 0.0], 0), (4, a, 1), (5, a, None), (6, None, 0), (7, [0.0] * 3, 0), (8, [float("nan")] * 3, 0), (9, [1.0, None, 0.0], 0), (10, [], 0), (None, [0.0, 1.0, 0.0], 0)]
@@ -177,6 +209,46 @@ def test_lm(spark, odd):
     assert lm.score(odd.limit(0), F.lit(True), vocabulary=8).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 1, 2, 3, 100])
+def test_lm_base_columns_with_any_hot_table(spark, hot):
+    docs = spark.createDataFrame([(1, "a b c d"), (6, "a b")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in lm.score(docs, F.col("doc_id") == 1, vocabulary=8, hot=hot, epochs=1).collect()}
+    assert got == {i: (n, n, 5, round(n * math.log10(2 / 11), 9)) for i, n in ((1, 5), (6, 3))}
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """Each context's probabilities add up to one, and a text's score is the sum of its tokens' logarithms, by hand."""
+    train = ["a b c a b", "b a c", "c c a b d e"] * 5
+    words = "a b c d e".split()
+    context = ["a", "b"]
+    texts = train + [" ".join(context)] + [" ".join([*context, w, x]) for w in [*words, "unseen"] for x in [*words, "unseen"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # vocabulary 6: a, b and c have vectors, d, e and unseen words share a class
+    got = {r.doc_id: 10**r.score for r in lm.score(docs, F.col("doc_id") < len(train), vocabulary=6, epochs=2).collect()}
+    assert len(got) == len(texts) and all(0 < p < 1 for p in got.values())
+    tables = {}
+    real = lm.train
+    lm.train = lambda *a, **k: tables.setdefault("t", real(*a, **k))
+    try:
+        rows = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") < len(train), vocabulary=6, epochs=2).collect()}
+    finally:
+        lm.train = real
+    one, two, bias, norm = tables["t"]
+    p = lambda t, o: np.exp(one[o] + two[t] + bias - norm[t, o])
+    assert all(np.isclose(p(t, o).sum(), 1) for t in range(6) for o in range(6))
+    c = Counter(w for t in train for w in t.split())
+    order = sorted(c, key=lambda w: (-c[w], T.hash_word(w) - (1 << 64) * (T.hash_word(w) >> 63)))
+    ids = {w: 3 + i for i, w in enumerate(order[:3])}
+    tail = sum(c[w] + 1 for w in c if w not in ids) + 1
+    for i, text in enumerate(texts):
+        seq, total, t, o = text.split(), 0.0, lm.START, lm.START
+        for w in [*seq, None]:
+            x = lm.END if w is None else ids.get(w, lm.OTHER)
+            total += math.log10(p(t, o)[x]) + (math.log10((c[w] + 1) / tail) if x == lm.OTHER else 0)
+            t, o = o, x
+        assert math.isclose(rows[i], total, abs_tol=1e-4), text
+
+
 def test_lm_learns_from_all_triples(spark):
     v = 8
     heavy = [(3 * v + 4) * v + 5, (4 * v + 5) * v + 3]
