@@ -166,6 +166,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]", samples: list[tuple[str, int]] | None = None) -> DataFrame:
     """docs with every span replaced by `mark`; other columns, null texts and rows without spans stay as they are."""
     ratio, threshold = fit(samples)
+    docs_columns = docs.columns
 
     def clean(text: str) -> str:
         out, at = [], 0
@@ -177,8 +178,10 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]", sa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i = batch.schema.get_field_index(text_col)
+            i = docs_columns.index(text_col)
             texts = pa.array([None if x is None else clean(x) for x in (t.as_py() for t in batch.column(i))], batch.schema.field(i).type)
             yield pa.RecordBatch.from_arrays([texts if j == i else c for j, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    # by number, as names may hold dots
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs_columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs_columns)

@@ -197,10 +197,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(scores(batch.column(batch.schema.get_field_index(text_col))) < 0.5))
+            yield batch.filter(pa.array(scores(batch.column(keep.index(text_col))) < 0.5))
 
     if keep is not None:
-        return docs.select(*keep).mapInArrow(clean, docs.select(*keep).schema)
+        # by number, as names may hold dots
+        kept = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+        return kept.mapInArrow(clean, kept.schema).toDF(*keep)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, score double, predicted int")

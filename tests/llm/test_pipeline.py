@@ -109,7 +109,8 @@ def odd_tables(spark, tmp_path_factory):
     """Null and repeated ids, null, empty and long texts, repeated rows, a leak under a null id, and clashing columns."""
     folder = tmp_path_factory.mktemp("odd")
     text = [(1, None), (2, ""), (4, "plain words of one kind in a row"), (4, "plain words of one kind in a row"), (4, "another text under the same id as before"), (None, "no id but a clean text of its own"), (None, "no id either and some other words here"), (None, f"no id and a leak {TEN} at the end"), (9, "key Zk9xQ2v7Lp0RtY4mWq8s and password=hunter22 done"), (10, "long " * 20000 + "tail"), (11, "stupid hate scum filth"), (12, "stupid hate scum filth again"), (13, "kind people of this town"), (14, "good bread and milk")]
-    docs = spark.createDataFrame([(i, t, "en", None if n % 4 == 0 else f"s{n % 3}", len(t or ""), 9, 9, 9) for n, (i, t) in enumerate(text)], "doc_id long, text string, lang string, source string, n_chars long, size long, copies long, row long")
+    clash = ["size", "copies", "row", "kept_key", "kept_text", "kept_rest", "leaking", "mix_key", "mix_of", "mix_taken", "mix_nth", "key", "of", "mix", "fp", "item", "bag", "n", "component_id", "a.b"]
+    docs = spark.createDataFrame([(i, t, "en", None if n % 4 == 0 else f"s{n % 3}", len(t or ""), {"m": 1}, *[9] * len(clash)) for n, (i, t) in enumerate(text)], "doc_id long, text string, lang string, source string, n_chars long, tags map<string,int>, " + ", ".join(f"`{c}` long" for c in clash))
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(11, 0, 1), (12, 0, 1), (13, 1, 0), (14, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, TEN, 9), (2, None, 9), (3, "", 9)], "item_id long, text string, row int").write.parquet(f"{folder}/benchmark.parquet")
