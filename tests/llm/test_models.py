@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,25 +300,87 @@ def test_decontamination_joins_by_shuffle_too(spark, odd, monkeypatch):
     test_decontamination(spark, odd)
 
 
+def embeddings_by_brute_force(rows, least=0.98):
+    """(vec_id, n_links, component_id) of rows (vec_id, vector, label)."""
+    fine = [i for i, (_, v, y) in enumerate(rows) if v and y is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    unit = {i: np.array(rows[i][1]) / max(map(abs, rows[i][1])) for i in fine}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    linked = [set() for _ in rows]
+    by = {}
+    for i in fine:
+        by.setdefault((rows[i][2], len(rows[i][1])), []).append(i)
+    for group in by.values():
+        x = np.array([unit[i] for i in group])
+        for k, i in enumerate(group):
+            linked[i] = {group[j] for j in np.flatnonzero((x @ x[k] >= least) | (np.abs(x - x[k]).max(1) < 1e-15))} - {i}
+    least_id = [r[0] for r in rows]
+    changed = True
+    while changed:
+        changed = False
+        for i, near in enumerate(linked):
+            best = min([least_id[j] for j in near if least_id[j] is not None] + [least_id[i]] * (least_id[i] is not None), default=None)
+            if best != least_id[i]:
+                least_id[i], changed = best, True
+    return Counter((r[0], len(n), m) for r, n, m in zip(rows, linked, least_id, strict=True))
+
+
+def near_groups(seed=3, n=40, dim=16):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(n, dim))
+    x = np.repeat(centres, 10, axis=0) + r.normal(size=(10 * n, dim)) * r.choice([0.01, 0.05, 0.1, 0.5], size=(10 * n, 1))
+    x[100:200] = x[100] + r.normal(size=(100, dim)) * 0.02  # one large group
+    walk = np.cumsum(r.normal(size=(60, dim)) * 0.04, axis=0) + r.normal(size=dim)  # a chain of links
+    return np.concatenate([x, walk, x[:20]])
+
+
+def test_embeddings_of_odd_vectors(spark):
+    huge = [[1e200, 1e199], [2e200, 2e199], [1e-200, 1e-201], [1e308, -1e308], [5e-324, 0.0], [1.0, 0.1], [1.0, 0.1, 0.0], [1.0] * 3000, [1.0] * 2999 + [1.001]]
+    rows = [(i, v, "x") for i, v in enumerate(huge)] + [(90, huge[0], "y"), (None, huge[0], "x"), (90, huge[0], "y")]
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label string, shard int")).collect())
+    assert got == embeddings_by_brute_force(rows)
+    assert got[0, 5, 0] == 1 and got[90, 1, 90] == 2 and got[7, 1, 7] == 1
+
+
+@pytest.mark.parametrize("shard, most_pivots", [(40, 4096), (30, 4)])
+def test_embeddings_across_shards_equal_brute_force(spark, shard, most_pivots):
+    """Shards of one level, and of several levels with four pivots each."""
+    x = near_groups()
+    rows = [(int(i), [float(v) for v in x[i]], int(i % 7 == 0)) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    classes = df.select(F.col("vec_id").alias("cls"), "label", F.size("embedding").alias("dim"), F.col("embedding").alias("unit"), F.lit(1).cast("long").alias("size"))
+    cells = embeddings.shards(classes, 3, shard, 1, most_pivots)
+    assert cells.select("cls").distinct().count() == len(x) and cells.select("label", "shard").distinct().count() > 10
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df, shard=shard, most_pivots=most_pivots, recall=0.999).collect())
+    want = embeddings_by_brute_force(rows)
+    assert got == want
+
+
+def test_embeddings_raise_below_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "audit", lambda *a: (1, 100))
+    with pytest.raises(RuntimeError, match="1 of 100"):
+        embeddings.near_duplicates(spark.createDataFrame([(1, [1.0], 0)], "vec_id long, embedding array<double>, label int"))
+
+
 def test_graph_search_equals_brute_force():
     r = np.random.default_rng(3)
     centres = r.normal(size=(40, 16))
     x = np.repeat(centres, 10, axis=0) + r.normal(size=(400, 16)) * r.choice([0.01, 0.1, 0.5], size=(400, 1))
     x[100:200] = x[100] + r.normal(size=(100, 16)) * 0.01  # one large group
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    graph = embeddings.build(x.astype(np.float32))
-    rows = pd.DataFrame({"cls": np.arange(400) * 7, "unit": list(x), "links": [a[a >= 0].astype(np.int64) * 7 for a in graph], "shard": 2, "shards": [[2]] * 200 + [[2, 0]] * 200, "size": r.integers(1, 4, 400)})
+    graph, _ = embeddings.build(x.astype(np.float32))
+    rows = pa.table({"cls": np.arange(400) * 7, "unit": list(x), "links": [a[a >= 0].astype(np.int64) * 7 for a in graph], "shard": np.full(400, 2), "member": np.full(400, True), "shards": [[2]] * 200 + [[2, 0]] * 200, "guests": [None] * 100 + [[0]] * 100 + [[]] * 200, "size": r.integers(1, 4, 400)})
     true = x @ x.T >= 0.98
     np.fill_diagonal(true, False)
-    # pairs that meet in shard 0 too count there
+    # pairs that can meet in shard 0 count there
     counted = true.copy()
-    counted[200:, 200:] = False
-    got = embeddings._shard(rows.sample(frac=1, random_state=1), 0.98)
-    assert got.cls.tolist() == (np.arange(400) * 7).tolist()
-    assert got.n.tolist() == (counted @ rows["size"].to_numpy()).tolist()
+    counted[200:, 100:] = counted[100:, 200:] = False
+    got = embeddings._shard(rows.take(pa.array(r.permutation(400))), 0.98)
+    got = got.sort_by("cls")
+    assert got["cls"].to_pylist() == (np.arange(400) * 7).tolist()
+    assert got["n"].to_pylist() == (counted @ rows["size"].to_numpy()).tolist() and got["m"].to_pylist() == counted.sum(1).tolist()
     least = np.arange(400)
     for _ in range(400):
         least = np.minimum(least, np.where(true, least[None, :], 400).min(1))
-    assert got["head"].tolist() == (least * 7).tolist()
-    one = embeddings._shard(rows.head(1), 0.98)
-    assert one.n.tolist() == [0] and one["head"].tolist() == [0]
+    assert got["head"].to_pylist() == (least * 7).tolist()
+    one = embeddings._shard(rows.slice(0, 1), 0.98)
+    assert one["n"].to_pylist() == [0] and one["head"].to_pylist() == [0]
