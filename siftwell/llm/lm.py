@@ -131,7 +131,15 @@ class Hot:
         return h, row, ids, one, two, at, there
 
 
-def train(triples: DataFrame, vocabulary: int, dim: int = 32, noise: int = 64, epochs: int = 3, batch: int = 256, seed: int = 3, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """into[at] += rows, where places repeat."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    into[at[first]] += np.add.reduceat(rows[order], first)
+
+
+def train(triples: DataFrame, vocabulary: int, dim: int = 32, noise: int = 64, epochs: int = 3, batch: int = 1024, seed: int = 3, shard: int = SHARD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(scores after one before, scores after two before, bias, log normaliser of [two, one]) from all rows of triples(code, n), with codes (two * V + one) * V + word.
 
     Each epoch passes over every row, whose gradient counts n times. A row above the mean count is cut into pieces of
@@ -167,33 +175,37 @@ def train(triples: DataFrame, vocabulary: int, dim: int = 32, noise: int = 64, e
             codes, weight = (found.column(c).to_numpy() for c in ("code", "n"))
             order = np.lexsort((weight, codes))
             codes, weight = codes[order], weight[order]
-            two, one, word = codes // (v * v), codes // v % v, codes % v
             rng = np.random.RandomState([seed, epoch, number])
-            own = state.copy()
-            r, c1, c2, b, *sums = parted(own)
             order = rng.permutation(len(codes))
+            codes, weight = codes[order], weight[order]
             scale = batch * weight.mean()
-            for start in range(0, len(order), batch):
-                i = order[start : start + batch]
+            two, one, word, weight = codes // (v * v), codes // v % v, codes % v, weight.astype(np.float32)
+            own = state.astype(np.float32)
+            r, c1, c2, b, *sums = parted(own)
+            share = log_kq.astype(np.float32)
+            for start in range(0, len(codes), batch):
+                t, o, w, n = (x[start : start + batch] for x in (two, one, word, weight))
                 sampled = np.searchsorted(below, rng.random_sample(noise) * 0.999999)
-                x1, x2, y = r[one[i]], r[two[i]], r[word[i]]
+                x1, x2, y, z = r[o], r[t], r[w], r[sampled]
                 context = x1 @ c1 + x2 @ c2
-                data = (context * y).sum(1) + b[word[i]] - log_kq[word[i]]
-                other = context @ r[sampled].T + b[sampled] - log_kq[sampled]
+                data = np.einsum("ij,ij->i", context, y) + b[w] - share[w]
+                other = context @ z.T + (b[sampled] - share[sampled])
                 # the gradient of log s(data) + sum of log s(-other)
-                g_data = weight[i] / (1 + np.exp(np.clip(data, -40, 40)))
-                g_other = -weight[i, None] / (1 + np.exp(-np.clip(other, -40, 40)))
-                g_context = g_data[:, None] * y + g_other @ r[sampled]
+                g_data = n / (1 + np.exp(np.clip(data, -40, 40)))
+                g_other = -n[:, None] / (1 + np.exp(np.clip(-other, -40, 40)))
+                g_context = g_data[:, None] * y + g_other @ z
                 g_r = np.zeros_like(r)
-                np.add.at(g_r, word[i], g_data[:, None] * context)
                 np.add.at(g_r, sampled, g_other.T @ context)
-                np.add.at(g_r, one[i], g_context @ c1.T)
-                np.add.at(g_r, two[i], g_context @ c2.T)
-                g_b = np.bincount(word[i], g_data, minlength=v) + np.bincount(sampled, g_other.sum(0), minlength=v)
-                for value, total, g in zip((r, c1, c2, b), sums, (g_r, x1.T @ g_context, x2.T @ g_context, g_b), strict=True):
-                    g = g / scale
+                _add_rows(g_r, w, g_data[:, None] * context)
+                _add_rows(g_r, o, g_context @ c1.T)
+                _add_rows(g_r, t, g_context @ c2.T)
+                g_b = np.bincount(w, g_data, minlength=v) + np.bincount(sampled, g_other.sum(0), minlength=v)
+                for value, total, g in zip((r, c1, c2, b), sums, (g_r, x1.T @ g_context, x2.T @ g_context, g_b.astype(np.float32)), strict=True):
+                    g /= scale
                     total += g * g
-                    value += 0.1 * g / np.sqrt(total)
+                    value += 0.3 * g / np.sqrt(total)
+            own = own.astype(float)
+            weight = weight.astype(float)
             return pa.table({"shard": pa.array([number], pa.int64()), "weight": pa.array([int(weight.sum())], pa.int64()), "state": pa.array([own.tobytes()], pa.binary())})
 
         return learn
@@ -245,14 +257,18 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 if len(table.h):
                     base[there] = log_count[at[there]]
                 sums = lambda x: np.bincount(row, x, minlength=rows_)  # noqa: E731, B023
-                key, k = np.unique(np.stack([row[cold].astype(np.uint64), h[cold]]), axis=1, return_counts=True) if cold.any() else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-                at_row = np.concatenate([np.arange(rows_), key[0].astype(np.int64)])
+                far_row, far_h = row[cold], h[cold]
+                order = np.lexsort((far_h, far_row))
+                far_row, far_h = far_row[order], far_h[order]
+                fresh = np.flatnonzero(np.concatenate([[True], (far_row[1:] != far_row[:-1]) | (far_h[1:] != far_h[:-1])])) if len(far_h) else np.zeros(0, np.int64)
+                k = np.diff(np.append(fresh, len(far_h)))
+                at_row = np.concatenate([np.arange(rows_), far_row[fresh]])
                 take = pa.array(at_row + low)
                 pad = np.zeros(len(k))
                 own = batch.column(0).to_numpy()[low : low + rows_]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(take), batch.column(1).take(take),
-                    pa.array(np.concatenate([T.mix(own.astype(np.uint64)), key[1]]).view(np.int64)), pa.array(np.arange(len(at_row)) >= rows_),
+                    pa.array(np.concatenate([T.mix(own.astype(np.uint64)), far_h[fresh]]).view(np.int64)), pa.array(np.arange(len(at_row)) >= rows_),
                     pa.array(np.concatenate([sums(np.ones(len(h))).astype(np.int64), k])), pa.array(np.concatenate([sums(there & (table.n[at] > 0) if len(table.h) else there).astype(np.int64), pad.astype(np.int64)])),
                     pa.array(np.concatenate([sums(base), pad])), pa.array(np.concatenate([sums(log_p + base * other), pad])),
                 ], names=["row", "doc_id", "h", "cold", "n", "known", "base", "log_p"])
