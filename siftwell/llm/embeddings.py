@@ -34,7 +34,7 @@ from siftwell.llm._spark import components, grouped, looked_up, saved
 
 SHARD, DEGREE, BEAM = 1000, 24, 4
 #: Pivots of a cell at most, rows of a cell that one task splits, and audited classes of either sample at most.
-MOST_PIVOTS, PIECE, AUDITED = 4096, 16384, 512
+MOST_PIVOTS, PIECE, AUDITED = 4096, 128, 512
 
 
 def build(x: np.ndarray, degree: int = DEGREE, alpha: float = 1.2, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +209,9 @@ def shards(classes: DataFrame, overlap: int = 3, shard: int = SHARD, salt: int =
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema)
     for level in range(5):
         big = cells.groupBy(*KEYS).agg(F.count("*").alias("cell")).where(F.col("cell") > 2 * shard)
-        big = saved(big.select(*KEYS, "cell", F.ceil(F.col("cell") / PIECE).alias("pieces")))
+        # a piece has four times as many rows as the cell has pivots, PIECE at least
+        drawn = F.least(F.col("cell") * F.lit(2.0 / shard), F.lit(float(most_pivots)))
+        big = saved(big.select(*KEYS, "cell", F.ceil(F.col("cell") / F.greatest(F.lit(float(PIECE)), 4 * drawn)).alias("pieces")))
         if big.isEmpty():
             break
         crowd = cells.join(big, KEYS)
