@@ -18,9 +18,11 @@ from siftwell.operators import graph as G
 from siftwell.operators import pool as P
 from siftwell.operators import retrieval as R
 from siftwell.operators import stats as B
+from siftwell.operators import extraction as X
+from siftwell.plans.lineage import saved
 
 Query = Callable[[SparkSession, str], DataFrame]
-ROUNDS, SEED, STEPS = 200, 20260818, 3
+ROUNDS, SEED = 2000, 20260818
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -75,7 +77,7 @@ FRAGMENTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "long": (" UNION ALL ".join(f"SELECT {i} AS mask, query_id, doc_id, c{i} AS score FROM cells WHERE c{i} > 0" for i in range(8)), ("cells",)),
     "ranked": ("SELECT * FROM (SELECT mask, query_id, doc_id, score, row_number() OVER (PARTITION BY mask, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM long) WHERE rank <= 100", ("long",)),
     "bm25": ("SELECT query_id, doc_id, score, rank FROM ranked WHERE mask = 7", ("ranked",)),
-    "cterm": ("SELECT query_id, term FROM qterm WHERE term NOT IN (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + ")", ("qterm",)),
+    "cterm": ("SELECT query_id, term FROM qterm WHERE term NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'has', 'have', 'how', 'i', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 'that', 'the', 'their', 'there', 'these', 'this', 'to', 'was', 'what', 'when', 'where', 'which', 'who', 'why', 'will', 'with')", ("qterm",)),
     "uw": ("SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(replace(lower(coalesce(text, '')), 'ſ', 's'), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+')) AS term FROM documents) WHERE term <> '' GROUP BY 1, 2", ()),
     "hits": ("SELECT query_id, doc_id, count(*) AS matched, sum(n)::BIGINT AS total FROM cterm JOIN uw USING (term) GROUP BY 1, 2", ("cterm", "uw")),
     "coord": ("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, total DESC, doc_id) AS rank FROM hits) WHERE rank <= 100", ("hits",)),
@@ -91,21 +93,12 @@ FRAGMENTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "dense": ("SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, v.label = q.label AS same, list_dot_product(q.u, v.u) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.u, v.u), 9) DESC, v.vec_id) AS rank FROM vec q CROSS JOIN vec v WHERE q.vec_id % 50 = 0) WHERE rank <= 100", ("vec",)),
     "title": ("SELECT page_id AS doc_id, trim(regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1)) AS title FROM pages", ()),
     "ctx": ("SELECT conv_id AS question_id, turn AS slot, coalesce(title, '') AS title FROM conversations LEFT JOIN title ON doc_id = (conv_id * 7 + turn) % (SELECT count(*) FROM pages)", ("title",)),
-    "inc": ("SELECT doc_id, term AS node FROM (SELECT DISTINCT doc_id, term FROM tok WHERE length(term) >= 6) JOIN dfs USING (term) WHERE df BETWEEN 2 AND 20", ("tok", "dfs")),
+    "inc": ("SELECT DISTINCT doc_id, term AS node FROM tok WHERE length(term) >= 6", ("tok",)),
     "dsize": ("SELECT doc_id, count(*) AS size FROM inc GROUP BY 1", ("inc",)),
     "nodes": ("SELECT node, count(*) AS df, 1.0 / count(*) AS specificity, sum(size)::BIGINT - count(*) AS degree FROM inc JOIN dsize USING (doc_id) GROUP BY 1", ("inc", "dsize")),
     "qnode": ("SELECT query_id, term AS node FROM qterm SEMI JOIN nodes ON term = node", ("qterm", "nodes")),
     "seed": ("SELECT query_id, node, specificity / sum(specificity) OVER (PARTITION BY query_id) AS mass FROM qnode JOIN nodes USING (node)", ("qnode", "nodes")),
 }
-_before = "seed"
-for _i in range(1, STEPS + 1):
-    FRAGMENTS[f"x{_i}"] = (f"SELECT query_id, node, mass, degree, df, CASE WHEN degree > 0 THEN mass / degree ELSE 0 END AS x FROM {_before} JOIN nodes USING (node)", (_before, "nodes"))
-    FRAGMENTS[f"d{_i}"] = (f"SELECT query_id, doc_id, sum(x) AS s FROM x{_i} JOIN inc USING (node) WHERE degree > 0 GROUP BY 1, 2", (f"x{_i}", "inc"))
-    FRAGMENTS[f"l{_i}"] = (f"SELECT query_id, sum(CASE WHEN degree > 0 THEN 0 ELSE mass END) AS lost FROM x{_i} GROUP BY 1", (f"x{_i}",))
-    FRAGMENTS[f"n{_i}"] = (f"SELECT query_id, node, sum(m) AS mass FROM (SELECT query_id, node, 0.5 * s AS m FROM d{_i} JOIN inc USING (doc_id) UNION ALL SELECT query_id, node, -0.5 * df * x FROM x{_i} WHERE degree > 0 UNION ALL SELECT query_id, node, mass * (0.5 + 0.5 * lost) FROM seed JOIN l{_i} USING (query_id)) GROUP BY 1, 2", (f"d{_i}", f"x{_i}", f"l{_i}", "inc", "seed"))
-    FRAGMENTS[f"r{_i}"] = (f"SELECT query_id, node, mass / sum(mass) OVER (PARTITION BY query_id) AS mass FROM n{_i}", (f"n{_i}",))
-    _before = f"r{_i}"
-
 
 @query("tokenize_counts", with_("len", "post") + "SELECT doc_id, any_value(length)::BIGINT AS n_tokens, count(term) AS n_terms FROM len LEFT JOIN post USING (doc_id) GROUP BY doc_id")
 def tokenize_counts(spark, sf):
@@ -160,14 +153,8 @@ def coordination_substring_top10(spark, sf):
 
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, doc_id, rel): documents with the item's whole token run; joined on the first tokens, then verified."""
-    q = items(spark, sf).select("query_id", T.tokens(F.col("text")).alias("q")).where(F.size("q") > 0)
-    d = docs(spark, sf).select("doc_id", T.tokens(F.col("text")).alias("d"))
-    head = lambda c, i: F.array_join(F.slice(c, i, 4), " ")
-    runs = d.where(F.size("d") >= 4).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("d") - 3), lambda i: head(F.col("d"), i)))).alias("head"))
-    long = runs.join(q.where(F.size("q") >= 4).select("query_id", "q", head(F.col("q"), 1).alias("head")), "head").join(d, "doc_id").where(T.run_inside(F.col("q"), F.col("d")))
-    short = q.where(F.size("q") < 4).join(d, T.run_inside(F.col("q"), F.col("d")))
-    return long.select("query_id", "doc_id").unionAll(short.select("query_id", "doc_id")).withColumn("rel", F.lit(1))
+    """(query_id, doc_id, rel): documents with the item's whole token run."""
+    return saved(R.contained_runs(docs(spark, sf), items(spark, sf)).withColumn("rel", F.lit(1)))
 
 
 @query("derived_qrels", with_("qrels") + "SELECT query_id, doc_id, rel FROM qrels")
@@ -181,15 +168,15 @@ def gold_presence(spark, sf):
     return judged(spark, sf).join(there, "doc_id", "left").agg(F.count("*").alias("n_gold"), F.count_if(F.col("there").isNull()).alias("n_missing"))
 
 
-def arm_scores(spark: SparkSession, sf: str) -> DataFrame:
+def arm_scores(spark: SparkSession, sf: str, rel: DataFrame | None = None) -> DataFrame:
     """(arm, query_id, ndcg_10, recall_10, recall_100) of the eight cells and coordination, over one list of runs."""
-    d, q, rel = docs(spark, sf), items(spark, sf), judged(spark, sf)
+    d, q, rel = docs(spark, sf), items(spark, sf), rel or judged(spark, sf)
     runs = R.factorial_runs(R.Index(d), q, 100).select(F.col("mask").cast("string").alias("arm"), "query_id", "doc_id", "rank").unionAll(R.coordination(d, q, 100).select(F.lit("coordination"), "query_id", "doc_id", "rank"))
     arms = spark.createDataFrame([(str(i),) for i in range(8)] + [("coordination",)], "arm string")
     # an arm's query is one id for the shared kernel
     both = lambda df: df.crossJoin(F.broadcast(arms)).withColumn("query_id", F.struct("arm", "query_id"))
     m = E.metrics(both(q.select("query_id")), runs.withColumn("query_id", F.struct("arm", "query_id")), both(rel))
-    return m.select("query_id.arm", "query_id.query_id", "ndcg_10", "recall_10", "recall_100")
+    return saved(m.select("query_id.arm", "query_id.query_id", "ndcg_10", "recall_10", "recall_100"))
 
 
 @query("ndcg_recall_bm25", with_("scores") + "SELECT query_id, round(ndcg_10, 6) AS ndcg_10, round(recall_10, 6) AS recall_10, round(recall_100, 6) AS recall_100 FROM scores WHERE arm = '7'")
@@ -290,7 +277,7 @@ def _pairs(spark, sf):
     return arm("7", "x").join(arm("coordination", "y"), "query_id")
 
 
-@query("paired_bootstrap_hash", with_("pairs") + f", drawn AS (SELECT r, {_DRAW} AS at FROM pairs CROSS JOIN (SELECT unnest(range({ROUNDS})) AS r)), draws AS (SELECT r, round(avg(p.x - p.y), 9) AS d FROM drawn JOIN pairs p ON p.place = drawn.at GROUP BY 1) SELECT round(list_sort(list(d))[6], 6) AS low, round(list_sort(list(d))[{ROUNDS} - 5], 6) AS high, round(least(1.0, 2 * least(count(*) FILTER (d <= 0) + 1, count(*) FILTER (d >= 0) + 1) / ({ROUNDS} + 1)), 6) AS p_value FROM draws")
+@query("paired_bootstrap_hash", with_("pairs") + f", drawn AS (SELECT r, {_DRAW} AS at FROM pairs CROSS JOIN (SELECT unnest(range({ROUNDS})) AS r)), draws AS (SELECT r, round(avg(p.x - p.y), 9) AS d FROM drawn JOIN pairs p ON p.place = drawn.at GROUP BY 1) SELECT round(list_sort(list(d))[51], 6) AS low, round(list_sort(list(d))[{ROUNDS} - 50], 6) AS high, round(least(1.0, 2 * least(count(*) FILTER (d <= 0) + 1, count(*) FILTER (d >= 0) + 1) / ({ROUNDS} + 1)), 6) AS p_value FROM draws")
 def paired_bootstrap_hash(spark, sf):
     diffs = _pairs(spark, sf).select("query_id", (F.col("x") - F.col("y")).alias("d"))
     means = B.hashed_means(diffs, ROUNDS, SEED, "d").withColumn("d", F.round("d", 9))
@@ -388,10 +375,8 @@ def majority_variant(spark, sf):
 
 
 def entity_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Incidence by the default extraction rule: tokens of six letters or more in 2 to 20 documents."""
-    index = R.Index(docs(spark, sf))
-    kept = index.df.where("df between 2 and 20 and length(term) >= 6")
-    return index.postings.join(kept, "term").select("doc_id", F.col("term").alias("surface")).transform(G.incidence)
+    """Incidence by the default extraction rule."""
+    return saved(G.incidence(X.mentions(docs(spark, sf), X.LongTokens())))
 
 
 def query_nodes(spark, sf):
@@ -424,30 +409,41 @@ def _top(rank: str, how: str) -> str:
     return with_(*needs) + f"SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, {score} AS score FROM {rank} JOIN inc USING (node)" + (" JOIN dsize USING (doc_id)" if how != "sum" else "") + " GROUP BY 1, 2) WHERE score > 0) WHERE rank <= 10"
 
 
-def _walk(spark, sf, rounds: int, mean: bool = False):
-    inc = entity_graph(spark, sf)
-    graph = G.nodes(inc)
-    seed = G.seeds(query_nodes(spark, sf), graph)
-    rank = G.pagerank(inc, graph, seed, rounds=rounds, tolerance=0) if rounds else seed
-    return rounded(G.score_documents(inc, rank, 10, mean), "score")
+def _seeds(spark, sf, inc, specific: bool = True):
+    return G.seeds(query_nodes(spark, sf), G.nodes(inc), specific)
 
 
-@query("ppr_top10", _top(f"r{STEPS}", "sum"))
+@query("ppr_top10")
 def ppr_top10(spark, sf):
-    return _walk(spark, sf, STEPS)
+    inc = entity_graph(spark, sf)
+    return rounded(G.retrieve(inc, _seeds(spark, sf, inc), 10), "score")
+
+
+@query("graph_mean_scoring_top10")
+def graph_mean_scoring_top10(spark, sf):
+    inc = entity_graph(spark, sf)
+    return rounded(G.retrieve(inc, _seeds(spark, sf, inc), 10, mean=True), "score")
 
 
 @query("ppr_no_walk_top10", _top("seed", "sum"))
 def ppr_no_walk_top10(spark, sf):
-    return _walk(spark, sf, 0)
+    inc = entity_graph(spark, sf)
+    return rounded(G.score_documents(inc, _seeds(spark, sf, inc), 10), "score")
 
 
-@query("graph_mean_scoring_top10", _top("r1", "mean"))
-def graph_mean_scoring_top10(spark, sf):
-    return _walk(spark, sf, 1, mean=True)
+@query("graph_count_top10", with_("inc", "qnode") + "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, sum(1.0::DOUBLE / n) AS score FROM qnode JOIN (SELECT query_id, count(*) AS n FROM qnode GROUP BY 1) USING (query_id) JOIN inc USING (node) GROUP BY 1, 2)) WHERE rank <= 10")
+def graph_count_top10(spark, sf):
+    inc = entity_graph(spark, sf)
+    return rounded(G.score_documents(inc, _seeds(spark, sf, inc, False), 10), "score")
+
+
+@query("graph_mean_no_walk_top10", _top("seed", "mean"))
+def graph_mean_no_walk_top10(spark, sf):
+    inc = entity_graph(spark, sf)
+    return rounded(G.score_documents(inc, _seeds(spark, sf, inc), 10, mean=True), "score")
 
 
-@query("bridge_sharing", with_("inc") + "SELECT count(*) AS n_pairs, round(avg(s), 6) AS rate FROM (SELECT doc_id, (EXISTS (SELECT 1 FROM inc a JOIN inc b USING (node) WHERE a.doc_id = d.doc_id AND b.doc_id = d.doc_id + 1))::INT AS s FROM documents d WHERE EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = d.doc_id + 1))")
+@query("bridge_sharing", with_("inc") + "SELECT count(*) AS n_pairs, round(avg(s), 6) AS rate FROM (SELECT doc_id, (x.doc_id IS NOT NULL)::INT AS s FROM documents d LEFT JOIN (SELECT DISTINCT a.doc_id FROM inc a JOIN inc b ON a.node = b.node AND b.doc_id = a.doc_id + 1) x USING (doc_id) WHERE EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = d.doc_id + 1))")
 def bridge_sharing(spark, sf):
     d = docs(spark, sf).select(F.col("doc_id").alias("a"))
     pairs = d.join(docs(spark, sf).select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b")), "a")
@@ -465,10 +461,171 @@ def rater_agreement(spark, sf):
     return rounded(E.rater_agreement(table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("rater"), F.floor("value").alias("node"))), "jaccard")
 
 
+_CLS = ", cov AS (SELECT q.query_id, least(count(*) FILTER (contains(' ' || run || ' ', ' ' || lang || ' ')), 2)::INT AS cls FROM qtext q LEFT JOIN qrels USING (query_id) LEFT JOIN documents d USING (doc_id) GROUP BY 1), v AS (SELECT query_id, x.ndcg_10 AS graph, y.ndcg_10 AS bm25, cls FROM scores x JOIN scores y USING (query_id) JOIN cov USING (query_id) WHERE x.arm = 'coordination' AND y.arm = '7') "
+
+
+def two_arms(spark, sf):
+    """(query_id, cls, graph, bm25): nDCG of coordination, in the place of the arm under test, and of BM25, with coverage classes."""
+    rel = judged(spark, sf)
+    s = arm_scores(spark, sf, rel)
+    arm = lambda a, c: s.where(F.col("arm") == a).select("query_id", F.col("ndcg_10").alias(c))
+    return arm("coordination", "graph").join(arm("7", "bm25"), "query_id").join(E.coverage(items(spark, sf), _named(spark, sf)), "query_id")
+
+
+def _strata(spark, sf):
+    """The two arms by classes of the length of the query, as every class of coverage may not be there: 2 for those of an odd number of tokens, else 0."""
+    odd = F.when(F.size(T.tokens(F.col("text"))) % 2 == 1, 2).otherwise(0)
+    return two_arms(spark, sf).drop("cls").join(items(spark, sf).select("query_id", odd.alias("cls")), "query_id")
+
+
+_STRATA = ", v AS (SELECT query_id, x.ndcg_10 AS graph, y.ndcg_10 AS bm25, CASE WHEN coalesce(n, 0) % 2 = 1 THEN 2 ELSE 0 END AS cls FROM scores x JOIN scores y USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM qtok GROUP BY 1) USING (query_id) WHERE x.arm = 'coordination' AND y.arm = '7') "
+
+
 @query("class_contrast_mt")
 def class_contrast_mt(spark, sf):
-    s = arm_scores(spark, sf).where("arm = '7'").join(_properties(spark, sf).select("query_id", "gold_count"), "query_id")
-    return B.class_contrast(s.select("query_id", (F.col("gold_count") > 1).alias("cls"), F.col("ndcg_10").alias("value")), rounds=2000)
+    return B.class_contrast(two_arms(spark, sf).select(F.lit("ndcg_10").alias("key"), "query_id", "cls", (F.col("graph") - F.col("bm25")).alias("value")))
+
+
+@query("class_contrast_points", with_("scores", "qtok") + _STRATA + "SELECT count(*) FILTER (cls < 2) AS n_absent, count(*) FILTER (cls = 2) AS n_named, round(avg(graph - bm25) FILTER (cls < 2), 6) + 0 AS mean_absent, round(avg(graph - bm25) FILTER (cls = 2), 6) + 0 AS mean_named, round(avg(graph - bm25) FILTER (cls < 2) - avg(graph - bm25) FILTER (cls = 2), 6) + 0 AS difference FROM v HAVING n_absent > 0 AND n_named > 0")
+def class_contrast_points(spark, sf):
+    found = B.class_contrast(_strata(spark, sf).select(F.lit("ndcg_10").alias("key"), "query_id", "cls", (F.col("graph") - F.col("bm25")).alias("value")))
+    return found.where("error is null").select("n_absent", "n_named", *[(F.round(c, 6) + 0).alias(c) for c in ("mean_absent", "mean_named", "difference")])
+
+
+@query("own_class_difference_points", with_("scores", "qtok") + _STRATA + "SELECT round(avg(graph) FILTER (cls < 2) - avg(graph) FILTER (cls = 2), 6) + 0 AS difference FROM v HAVING count(*) FILTER (cls < 2) > 0 AND count(*) FILTER (cls = 2) > 0")
+def own_class_difference_points(spark, sf):
+    found = B.class_contrast(_strata(spark, sf).select(F.lit("ndcg_10").alias("key"), "query_id", "cls", F.col("graph").alias("value")))
+    return found.where("error is null").select((F.round("difference", 6) + 0).alias("difference"))
+
+
+@query("decomposition_points", with_("scores", "qtok") + _STRATA + ", t AS (SELECT avg(graph) FILTER (cls < 2) - avg(graph) FILTER (cls = 2) AS g, avg(bm25) FILTER (cls = 2) - avg(bm25) FILTER (cls < 2) AS b FROM v HAVING count(*) FILTER (cls < 2) > 0 AND count(*) FILTER (cls = 2) > 0) SELECT term, round(point, 6) + 0 AS point FROM (SELECT unnest(['differential', 'graph', 'bm25']) AS term, unnest([g + b, g, b]) AS point FROM t)")
+def decomposition_points(spark, sf):
+    found = B.decompose(_strata(spark, sf).withColumn("key", F.lit("ndcg_10"))).where("error is null and term <> 'bm25_share'")
+    return found.select("term", (F.round("point", 6) + 0).alias("point"))
+
+
+@query("headroom_by_class", with_("scores", "qtext") + _CLS + "SELECT class, n, round(b, 6) AS bm25, round(g, 6) AS graph, round(g - b, 6) + 0 AS raw_deficit, round(1 - b, 6) AS headroom, CASE WHEN round(b, 9) < 1 THEN round((g - b) / (1 - b), 6) + 0 END AS normalised_deficit FROM (SELECT CASE WHEN cls < 2 THEN 'bridge_absent' ELSE 'comparison' END AS class, count(*) AS n, avg(bm25) AS b, avg(graph) AS g FROM v GROUP BY 1)")
+def headroom_by_class(spark, sf):
+    found = B.headroom_by_class(two_arms(spark, sf).withColumns({c: F.round(c, 12) for c in ("graph", "bm25")}))
+    cols = ("bm25", "graph", "raw_deficit", "headroom", "normalised_deficit")
+    return found.select("class", "n", *[(F.round(c, 6) + 0).alias(c) for c in cols])
+
+
+@query("registered_family_mt")
+def registered_family_mt(spark, sf):
+    v = two_arms(spark, sf).unionByName(_strata(spark, sf)).select(F.lit("ndcg_10").alias("key"), "query_id", "cls", (F.col("graph") - F.col("bm25")).alias("value"))
+    return B.registered_family(v)
+
+
+@query("shapley_bootstrap_mt")
+def shapley_bootstrap_mt(spark, sf):
+    cells = arm_scores(spark, sf).where("arm <> 'coordination'").select("query_id", F.col("arm").cast("int").alias("mask"), F.col("ndcg_10").alias("value"))
+    return B.shapley_bootstrap(cells, PLAYERS)
+
+
+_MASKS = ", ".join(f"avg(p.c{m}) AS value_{m}" for m in range(8))
+
+
+def _phi(player: int) -> str:
+    return " + ".join(f"{w:.17g} * value_{m}" for m, w in enumerate(B.shapley_matrix(3)[player]) if w)
+
+
+@query("shapley_bootstrap_hash", with_("scores") + ", wide AS (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS place, count(*) OVER () AS n, " + ", ".join(f"max(ndcg_10) FILTER (arm = '{m}') AS c{m}" for m in range(8)) + f" FROM scores WHERE arm <> 'coordination' GROUP BY query_id), draws AS (SELECT r, {_MASKS} FROM (SELECT r, {_DRAW} AS spot FROM wide CROSS JOIN (SELECT unnest(range({ROUNDS})) AS r)) g JOIN wide p ON p.place = g.spot GROUP BY 1), phi AS (" + " UNION ALL ".join(f"SELECT '{p}' AS player, round({_phi(i)}, 9) AS d FROM draws" for i, p in enumerate(["idf", "tf_saturation", "length_norm"])) + f") SELECT player, round(list_sort(list(d))[51], 6) + 0 AS low, round(list_sort(list(d))[{ROUNDS} - 50], 6) + 0 AS high FROM phi GROUP BY 1")
+def shapley_bootstrap_hash(spark, sf):
+    cells = arm_scores(spark, sf).where("arm <> 'coordination'").groupBy("query_id").pivot("arm", [str(m) for m in range(8)]).agg(F.max("ndcg_10"))
+    means = B.hashed_means(cells.select("query_id", *[F.col(str(m)).alias(f"value_{m}") for m in range(8)]), ROUNDS, SEED, *[f"value_{m}" for m in range(8)])
+    out = None
+    for i, player in enumerate(PLAYERS):
+        d = means.select(F.round(F.expr(_phi(i)), 9).alias("d"))
+        row = B.hashed_interval(d, "d", ROUNDS).select(F.lit(player).alias("player"), (F.round("low", 6) + 0).alias("low"), (F.round("high", 6) + 0).alias("high"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+@query("spearman_interval_mt")
+def spearman_interval_mt(spark, sf):
+    return B.spearman_bootstrap(_properties(spark, sf).select(F.lit("length, idf").alias("comparison"), "query_id", F.col("query_length").cast("double").alias("x"), F.col("mean_idf").alias("y")))
+
+
+@query("winloss_intervals_mt")
+def winloss_intervals_mt(spark, sf):
+    bins = E.quantile_bins(_properties(spark, sf).where("gold_count > 0").select("query_id", F.round("mean_idf", 9).alias("mean_idf")), "mean_idf")
+    pairs = _pairs(spark, sf).join(bins, "query_id").select(F.col("bin").cast("string").alias("comparison"), "query_id", F.col("x").alias("a"), F.col("y").alias("b"))
+    return B.paired_mersenne(pairs)
+
+
+@query("winloss_by_gold_count", with_("scores", "gold") + "SELECT gold AS bin, count(*) AS n, count(*) FILTER (round(x.ndcg_10, 9) > round(y.ndcg_10, 9)) AS wins, count(*) FILTER (round(x.ndcg_10, 9) < round(y.ndcg_10, 9)) AS losses, count(*) FILTER (round(x.ndcg_10, 9) = round(y.ndcg_10, 9)) AS ties, round(avg(round(x.ndcg_10, 9) - round(y.ndcg_10, 9)), 6) + 0 AS mean_diff, count(*) < 5 AS sparse FROM gold JOIN scores x ON x.query_id = gold.query_id AND x.arm = '7' JOIN scores y ON y.query_id = gold.query_id AND y.arm = 'coordination' GROUP BY 1")
+def winloss_by_gold_count(spark, sf):
+    rel = judged(spark, sf)
+    s = arm_scores(spark, sf, rel).select("arm", "query_id", F.round("ndcg_10", 9).alias("value"))
+    arm = lambda a: s.where(F.col("arm") == a).select("query_id", "value")
+    found = E.win_loss(arm("7"), arm("coordination"), E.value_bins(rel.groupBy("query_id").agg(F.count("*").alias("gold")), "gold"))
+    return found.withColumn("mean_diff", F.round("mean_diff", 6) + 0)
+
+
+@query("arms_across_sources", with_("scores", "qrels") + "SELECT source AS corpus, " + ", ".join(f"round(avg(ndcg_10) FILTER (arm = '{a}'), 6) AS \"{a}_ndcg_10\"" for a in ("7", "coordination")) + " FROM (SELECT DISTINCT query_id, source FROM qrels JOIN documents USING (doc_id)) JOIN scores USING (query_id) GROUP BY 1")
+def arms_across_sources(spark, sf):
+    rel = judged(spark, sf)
+    of = rel.join(table(spark, sf, "documents").select("doc_id", F.col("source").alias("corpus")), "doc_id").select("query_id", "corpus").distinct()
+    wide = E.across_arms(arm_scores(spark, sf, rel).where("arm in ('7', 'coordination')").join(of, "query_id"), ["ndcg_10"])
+    return rounded(wide, "7_ndcg_10", "coordination_ndcg_10")
+
+
+@query("passage_counts", with_("inc", "tok") + ", p AS (SELECT DISTINCT doc_id, term AS node FROM tok WHERE length(term) BETWEEN 5 AND 8) SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, count(*) FILTER (g.node IS NOT NULL AND p.node IS NOT NULL) AS tp, count(*) FILTER (g.node IS NULL) AS fp, count(*) FILTER (p.node IS NULL) AS fn FROM inc g FULL JOIN p ON g.doc_id = p.doc_id AND g.node = p.node GROUP BY 1")
+def passage_counts(spark, sf):
+    p = R.Index(docs(spark, sf)).postings.where("length(term) between 5 and 8").select("doc_id", F.col("term").alias("node"))
+    return E.passage_counts(entity_graph(spark, sf), p)
+
+
+@query("extraction_intervals_mt")
+def extraction_intervals_mt(spark, sf):
+    return B.clustered_intervals(passage_counts(spark, sf))
+
+
+@query("majority_entities", "SELECT user_id AS doc_id, floor(value)::BIGINT AS node FROM (SELECT DISTINCT user_id, event_type, floor(value) AS value FROM events) GROUP BY 1, 2 HAVING count(*) >= 2")
+def majority_entities(spark, sf):
+    return E.majority(table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("rater"), F.floor("value").alias("node")))
+
+
+def _gold_pairs(spark, sf):
+    rel = judged(spark, sf)
+    return rel.alias("x").join(rel.alias("y"), "query_id").where("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+
+
+@query("bridge_reachability_mt")
+def bridge_reachability_mt(spark, sf):
+    return G.reachability(entity_graph(spark, sf), _gold_pairs(spark, sf))
+
+
+@query("bridge_reachability_observed", with_("inc", "qrels") + ", p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM qrels x JOIN qrels y USING (query_id) WHERE x.doc_id < y.doc_id), k AS (SELECT DISTINCT doc_id FROM inc), s AS (SELECT DISTINCT a, b FROM p JOIN inc i ON i.doc_id = a JOIN inc j ON j.doc_id = b AND i.node = j.node) SELECT count(*) AS gold_pairs_scored, round(coalesce(avg((s.a IS NOT NULL)::INT), 0), 6) AS observed_share_rate FROM p SEMI JOIN k ON k.doc_id = p.a LEFT JOIN s ON s.a = p.a AND s.b = p.b WHERE p.b IN (SELECT doc_id FROM k)")
+def bridge_reachability_observed(spark, sf):
+    return rounded(G.reachability(entity_graph(spark, sf), _gold_pairs(spark, sf), rounds=1).select("gold_pairs_scored", "observed_share_rate"), "observed_share_rate")
+
+
+@query("oracle_entity_graph", with_("dtext", "qtext") + ", n AS (SELECT DISTINCT array_to_string(list_slice(string_split(run, ' '), 1, 4), ' ') AS node FROM qtext) SELECT doc_id, node FROM dtext JOIN n ON node <> '' AND contains(run, ' ' || node || ' ')")
+def oracle_entity_graph(spark, sf):
+    titles = items(spark, sf).select(F.array_join(F.slice(T.tokens(F.col("text")), 1, 4), " ").alias("title"))
+    return G.titles_as_entities(docs(spark, sf), titles)
+
+
+@query("gold_containment", with_("qrels", "title") + "SELECT count(*) AS n_queries, count(*) FILTER (c) AS n_contained FROM (SELECT query_id, bool_and(t.title IS NOT NULL) AS c FROM (SELECT query_id, coalesce(title, '') AS title FROM qrels LEFT JOIN title USING (doc_id)) g LEFT JOIN (SELECT DISTINCT title FROM title) t USING (title) GROUP BY 1)")
+def gold_containment(spark, sf):
+    return P.gold_contained(E.gold_titles(judged(spark, sf), titles(spark, sf)), titles(spark, sf))
+
+
+@query("dense_encoded_top10")
+def dense_encoded_top10(spark, sf):
+    return rounded(R.dense_arm(R.HashedWords())(docs(spark, sf), items(spark, sf), 10), "score")
+
+
+@query("hybrid_lexical_dense_top10")
+def hybrid_lexical_dense_top10(spark, sf):
+    return rounded(R.hybrid_arm(R.lexical_arm(), R.dense_arm(R.HashedWords()))(docs(spark, sf), items(spark, sf), 10), "score")
+
+
+@query("anchor_top10", with_("tok", "qterm") + ", t2 AS (SELECT doc_id, term FROM tok WHERE term NOT IN (" + ", ".join(f"'{w}'" for w in "a an and are as at be by for from has have how i in is it its of on or that the their there these this to was what when where which who why will with".split()) + ")), l2 AS (SELECT d.doc_id, coalesce(n, 0) AS length FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM t2 GROUP BY 1) USING (doc_id)), p2 AS (SELECT doc_id, term, count(*) AS tf FROM t2 GROUP BY 1, 2), d2 AS (SELECT term, count(*) AS df FROM p2 GROUP BY 1), s2 AS (SELECT count(*) AS n, avg(length) AS average FROM l2) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / average))) AS score FROM qterm JOIN p2 USING (term) JOIN d2 USING (term) JOIN l2 USING (doc_id) CROSS JOIN s2 GROUP BY 1, 2)) WHERE rank <= 10")
+def anchor_top10(spark, sf):
+    return rounded(R.anchor(docs(spark, sf), items(spark, sf), 10), "score")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,7 +4,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The stop words that coordination queries leave out.
-STOPWORDS = """a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with""".split()
+STOPWORDS = """a an and are as at be by for from has have how i in is it its of on or that the
+their there these this to was what when where which who why will with""".split()
 
 
 def tokens(text: Column) -> Column:
@@ -44,11 +45,6 @@ def places(low: Column, term: Column) -> Column:
     return ((F.octet_length(low) - F.octet_length(F.replace(low, term))) / F.octet_length(term)).cast("long")
 
 
-def substring_count(text: Column, term: Column) -> Column:
-    """Non-overlapping places of a term anywhere, in either case."""
-    return places(folded(text), term)
-
-
 def squeeze(text: Column) -> Column:
     """White space collapsed to single spaces, none at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import scoring as S
 from siftwell.functions import text as T
+from siftwell.plans.lineage import positions
 
 
 class ControlFailed(AssertionError):
@@ -35,8 +36,8 @@ def set_recall(queries: DataFrame, hits: DataFrame, qrels: DataFrame) -> DataFra
 
 def size_summary(sizes: DataFrame) -> DataFrame:
     """Mean, upper median and zero count of sizes(n)."""
-    at = F.floor(F.count("*") / 2).cast("int") + 1
-    return sizes.agg(F.avg("n").alias("mean_size"), F.element_at(F.array_sort(F.collect_list("n")), at).alias("upper_median"), F.count_if(F.col("n") == 0).alias("n_empty"))
+    placed = positions(sizes.select("n"), "n", total="total")
+    return placed.agg(F.avg("n").alias("mean_size"), F.max(F.when(F.col("place") == F.floor(F.col("total") / 2), F.col("n"))).alias("upper_median"), F.count_if(F.col("n") == 0).alias("n_empty"))
 
 
 def length_stats(lengths: DataFrame) -> DataFrame:
@@ -57,9 +58,13 @@ def query_properties(queries: DataFrame, qrels: DataFrame, docs: DataFrame, idf:
 
 def quantile_bins(df: DataFrame, value: str, bins: int = 4, key: str = "query_id") -> DataFrame:
     """Adds bin: equal counts by (value, key), remainders last."""
-    place = F.row_number().over(Window.orderBy(value, key)) - 1
-    n = F.count("*").over(Window.partitionBy())
-    return df.withColumn("bin", F.floor((bins * (place + 1) - 1) / n).cast("int"))
+    placed = positions(df, value, key, name="place_", total="total_")
+    return placed.withColumn("bin", F.floor((bins * (F.col("place_") + 1) - 1) / F.col("total_")).cast("int")).drop("place_", "total_")
+
+
+def value_bins(df: DataFrame, value: str) -> DataFrame:
+    """Adds bin: each value of a discrete property is its own."""
+    return df.withColumn("bin", F.col(value))
 
 
 def win_loss(a: DataFrame, b: DataFrame, binned: DataFrame, sparse_below: int = 5) -> DataFrame:
@@ -92,14 +97,48 @@ def profile(values: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.groupBy("class").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"), F.avg(F.col("empty").cast("double")).alias("empty_rate"))
 
 
+def passage_counts(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(doc_id, tp, fp, fn) of (doc_id, node) sets."""
+    g, p = gold.distinct().withColumn("g", F.lit(1)), predicted.distinct().withColumn("p", F.lit(1))
+    return g.join(p, ["doc_id", "node"], "full").groupBy("doc_id").agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+
+
 def prf(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Pooled true and false positives, misses, precision, recall and F1 of (doc_id, node) sets."""
-    g, p = gold.distinct().withColumn("g", F.lit(1)), predicted.distinct().withColumn("p", F.lit(1))
-    n = g.join(p, ["doc_id", "node"], "full").agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    n = passage_counts(gold, predicted).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
     n = n.withColumn("precision", S.ratio0(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", S.ratio0(F.col("tp"), F.col("tp") + F.col("fn")))
     return n.withColumn("f1", S.f1(F.col("precision"), F.col("recall")))
 
 
+def across_arms(scores: DataFrame, measures: list[str]) -> DataFrame:
+    """A row for each corpus with a column for each measure and arm, of scores(corpus, arm, query_id, measures..)."""
+    means = scores.groupBy("corpus").pivot("arm").agg(*[F.avg(m).alias(m) for m in measures])
+    return means if len(measures) > 1 else means.select("corpus", *[F.col(c).alias(f"{c}_{measures[0]}") for c in means.columns if c != "corpus"])
+
+
+def empty_queries(queries: DataFrame, run: DataFrame) -> DataFrame:
+    """(query_id) of the queries for which nothing was retrieved."""
+    return queries.select("query_id").join(run.select("query_id").distinct(), "query_id", "left_anti")
+
+
+def paired(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(query_id, a, b) of two arms' (query_id, value); raises unless both score the same queries."""
+    both = a.select("query_id", F.col("value").alias("a")).join(b.select("query_id", F.col("value").alias("b")), "query_id", "full")
+    if not both.where("a is null or b is null").isEmpty():
+        raise ValueError("the arms don't score the same queries")
+    return both
+
+
+def gold_titles(qrels: DataFrame, titles: DataFrame) -> DataFrame:
+    """(query_id, title) of the judged documents; one without a title has an empty one."""
+    return qrels.join(titles.select("doc_id", "title"), "doc_id", "left").select("query_id", F.coalesce("title", F.lit("")).alias("title"))
+
+
+def better(scores: DataFrame, measure: str) -> str:
+    """The arm of scores(arm, query_id, measure) with the larger mean; of equal ones the first by name."""
+    return scores.groupBy("arm").agg(F.avg(measure).alias("m")).orderBy(F.desc(F.round("m", 9)), "arm").first().arm
+
+
 def majority(votes: DataFrame, least: int = 2) -> DataFrame:
     """(doc_id, node) that at least so many raters of votes(doc_id, rater, node) name."""
     return votes.groupBy("doc_id", "node").agg(F.countDistinct("rater").alias("n")).where(F.col("n") >= least).select("doc_id", "node")
@@ -148,12 +187,74 @@ def closure(value: float, published: float, slack: float = 0.10) -> None:
     within("closure", abs(value - published), 0.0, slack)
 
 
+#: Published recall at 2 and at 5 of the nested subset, and the slack that is allowed.
+SUBSET_RECALL, SUBSET_SLACK = {"recall_2": 0.554, "recall_5": 0.722}, 0.05
+
+
+def subset_closure(scores: DataFrame, published: dict[str, float] = SUBSET_RECALL, slack: float = SUBSET_SLACK) -> dict[str, float]:
+    """Mean measures of a judged subset's scores, each held against its published value."""
+    found = scores.agg(*[F.avg(m).alias(m) for m in published]).first().asDict()
+    for m, value in published.items():
+        closure(found[m], value, slack)
+    return found
+
+
+def self_retrieval(run: DataFrame, least: float = 0.98) -> float:
+    """The share of queries, which are documents, whose first result is themselves; raises below `least`."""
+    rate = run.where("rank = 1").agg(F.avg((F.col("query_id") == F.col("doc_id")).cast("int"))).first()[0] or 0.0
+    within("self retrieval", rate, least, 1.0)
+    return rate
+
+
+def shuffled(ndcg: float, most: float = 0.15) -> None:
+    within("nDCG over shuffled vectors", ndcg, 0.0, most)
+
+
+def set_recall_covers(set_recall_: float, recall_100: float) -> None:
+    """What all matches recall can't be less than what the first hundred do."""
+    if set_recall_ < recall_100 - 1e-9:
+        raise ControlFailed(f"set recall {set_recall_:.4f} is below recall at 100 {recall_100:.4f}")
+
+
+def same_corpus(a: DataFrame, b: DataFrame) -> None:
+    """Raises unless both have the same document ids: a graph ranks only the corpus it was built from."""
+    if not (a.select("doc_id").exceptAll(b.select("doc_id")).isEmpty() and b.select("doc_id").exceptAll(a.select("doc_id")).isEmpty()):
+        raise ControlFailed("the corpus isn't the one that was indexed")
+
+
+def all_annotated(sample: DataFrame) -> None:
+    left = sample.where(~F.col("annotated")).count()
+    if left:
+        raise ControlFailed(f"{left} passages aren't annotated")
+
+
 def frozen_counts(found: dict[str, int], wanted: dict[str, int]) -> None:
     off = {k: (found.get(k), v) for k, v in wanted.items() if found.get(k) != v}
     if off:
         raise ControlFailed(f"counts differ (found, wanted): {off}")
 
 
+def pool_controls(counts: DataFrame, titles: DataFrame, wanted: dict[str, int]) -> None:
+    """Frozen counts of a pool; no title unresolved, and none that names two documents."""
+    frozen_counts(counts.first().asDict(), {**wanted, "n_unresolved": 0})
+    if not titles.where("title <> ''").groupBy("title").count().where("count > 1").isEmpty():
+        raise ControlFailed("a title names two documents")
+
+
+def coverage_controls(classes: DataFrame, plain: DataFrame, wanted: dict[int, int], reclassified: int) -> None:
+    """Frozen sizes of the coverage classes, and how many queries another definition puts elsewhere."""
+    frozen_counts({str(r.cls): r.n for r in class_distribution(classes).collect()}, {str(k): v for k, v in wanted.items()})
+    moved = classes.join(plain.withColumnRenamed("cls", "other"), "query_id").where("cls <> other").count()
+    frozen_counts({"reclassified": moved}, {"reclassified": reclassified})
+
+
+def clean_tree(status: str, allow: bool = False) -> dict[str, object]:
+    """What a summary says of the sources, from `git status --porcelain`; raises on changes unless they are allowed, and then records that."""
+    if status.strip() and not allow:
+        raise ControlFailed("the sources have changes that aren't committed")
+    return {"clean": not status.strip(), "allowed": bool(status.strip())}
+
+
 def partition_of_labels(whole: set[str], *parts: set[str]) -> None:
     if reduce(set.union, parts, set()) != whole or sum(map(len, parts)) != len(whole):
         raise ControlFailed("label sets overlap or leave some out")

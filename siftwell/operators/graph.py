@@ -6,11 +6,17 @@ entity pairs are never made.
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
-from siftwell.operators.retrieval import top_k
+from siftwell.operators.retrieval import contained_runs, top_k
+from siftwell.operators.stats import upper_percentile
 from siftwell.plans.lineage import saved
 
 #: Entity labels that are kept on both sides.
@@ -31,47 +37,137 @@ def nodes(inc: DataFrame) -> DataFrame:
 
 
 def seeds(query_nodes: DataFrame, graph: DataFrame, specific: bool = True) -> DataFrame:
-    """(query_id, node, mass) summing to 1 a query, of query_nodes(query_id, node)."""
+    """(query_id, node, mass) summing to 1 a query, of query_nodes(query_id, node): by specificity, or each node alike."""
     raw = query_nodes.distinct().join(graph, "node").select("query_id", "node", (F.col("specificity") if specific else F.lit(1.0)).alias("w"))
     total = raw.groupBy("query_id").agg(F.sum("w").alias("t"))
     return raw.join(total, "query_id").select("query_id", "node", (F.col("w") / F.col("t")).alias("mass"))
 
 
-def pagerank(inc: DataFrame, graph: DataFrame, seed: DataFrame, damping: float = 0.5, rounds: int = 50, tolerance: float = 1e-10, every: int = 5) -> DataFrame:
-    """(query_id, node, mass) after at most `rounds` steps; it ends once no query changes by the tolerance or more.
-
-    A step names the rank before it several times, so each is cut in the checkpoint folder: plans don't grow with the rounds.
+class Walker:
+    """The graph as two edge lists for numpy, one by document and one by node; the walk of several queries at once."""
+
+    def __init__(self, edges: pa.Table):
+        docs, nodes = (edges[c].combine_chunks().dictionary_encode() for c in ("doc_id", "node"))
+        self.docs, self.nodes = docs.dictionary, nodes.dictionary
+        d, n = docs.indices.to_numpy(), nodes.indices.to_numpy()
+        by_doc, by_node = np.argsort(d, kind="stable"), np.argsort(n, kind="stable")
+        self.node_of, self.doc_start = n[by_doc], np.searchsorted(d[by_doc], np.arange(len(self.docs)))
+        self.doc_of, self.node_start = d[by_node], np.searchsorted(n[by_node], np.arange(len(self.nodes)))
+        self.df = np.bincount(n, minlength=len(self.nodes)).astype(float)
+        self.degree = np.add.reduceat(np.bincount(d, minlength=len(self.docs))[self.doc_of], self.node_start) - self.df if len(n) else self.df
+
+    def by_document(self, x: np.ndarray) -> np.ndarray:
+        """Sums of the rows of x [nodes, queries] over each document's nodes."""
+        return np.add.reduceat(x[self.node_of], self.doc_start)
+
+    def walk(self, restart: np.ndarray, damping: float, rounds: int, tolerance: float) -> np.ndarray:
+        """Masses [nodes, queries]; each query ends by itself."""
+        dangling = self.degree <= 0
+        share = np.where(dangling, 0.0, 1 / np.where(dangling, 1.0, self.degree))[:, None]
+        rank, active = restart.copy(), np.arange(restart.shape[1])
+        for _ in range(rounds):
+            now, home = rank[:, active], restart[:, active]
+            x = now * share
+            spread = np.add.reduceat(self.by_document(x)[self.doc_of], self.node_start) - self.df[:, None] * x + now[dangling].sum(0) * home
+            new = damping * home + (1 - damping) * spread
+            new /= new.sum(0)
+            rank[:, active] = new
+            active = active[np.abs(new - now).sum(0) >= tolerance]
+            if not len(active):
+                break
+        return rank
+
+
+#: Edges of a graph that is sent to the executors, and the masses (nodes times queries) that a task walks at once.
+MOST_EDGES, MASSES = 1 << 22, 1 << 22
+
+
+def _walked(inc: DataFrame, seed: DataFrame, damping: float, rounds: int, tolerance: float, give, schema: str) -> DataFrame:
+    """What give(walker, query ids, masses) says of blocks of queries, over a graph of bounded size."""
+    walker = Walker(inc.select("doc_id", "node").toArrow())
+    queries = seed.select("query_id").distinct().count()
+    each = max(1, min(64, MASSES // max(1, len(walker.nodes))))
+
+    def block(found: pa.Table) -> pa.Table:
+        ids = pa.compute.unique(found["query_id"])
+        restart = np.zeros((len(walker.nodes), len(ids)))
+        restart[pa.compute.index_in(found["node"], walker.nodes).to_numpy(), pa.compute.index_in(found["query_id"], ids).to_numpy()] = found["mass"].to_numpy()
+        return give(walker, ids, walker.walk(restart, damping, rounds, tolerance))
+
+    known = seed.join(inc.select("node").distinct(), "node", "left_semi").select("query_id", "node", "mass")
+    dealt = known.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(-(-queries // each) or 1)))
+    return dealt.groupBy("block").applyInArrow(lambda found: block(found), schema)
+
+
+def pagerank(inc: DataFrame, graph: DataFrame, seed: DataFrame, damping: float = 0.5, rounds: int = 50, tolerance: float = 1e-10, most_edges: int = MOST_EDGES) -> DataFrame:
+    """(query_id, node, mass) after at most `rounds` steps; a query ends once it changes by less than the tolerance.
+
+    `damping` is the probability of a restart at the seeds; mass at nodes without a neighbour restarts too. A graph of
+    `most_edges` edges at most goes to the executors, which walk blocks of queries; a larger one is walked by joins.
     """
-    inc, graph, seed = saved(inc), saved(graph.select("node", "df", "degree")), saved(seed)
-    rank = seed
-    for i in range(rounds):
+    inc, seed = saved(inc), saved(seed)
+    kinds = {**dict(seed.dtypes), "node": "string"}
+    if inc.count() <= most_edges:
+
+        def masses(walker: Walker, ids: pa.Array, rank: np.ndarray) -> pa.Table:
+            at, who = np.nonzero(rank)
+            return pa.table({"query_id": ids.take(pa.array(who)), "node": walker.nodes.take(pa.array(at)), "mass": rank[at, who]})
+
+        return _walked(inc, seed, damping, rounds, tolerance, masses, f"query_id {kinds['query_id']}, node string, mass double")
+    return _joined_walk(inc, saved(graph.select("node", "df", "degree")), seed, damping, rounds, tolerance)
+
+
+def _joined_walk(inc: DataFrame, graph: DataFrame, seed: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
+    """The walk by joins through documents. Each step is cut in the checkpoint folder; queries that ended leave the joins."""
+    rank, done = seed, None
+    for _ in range(rounds):
         x = rank.join(graph, "node")
         walking = x.where("degree > 0").select("query_id", "node", (F.col("mass") / F.col("degree")).alias("x"), "df")
         dangling = x.groupBy("query_id").agg(F.sum(F.when(F.col("degree") > 0, 0.0).otherwise(F.col("mass"))).alias("lost"))
         by_doc = walking.join(inc, "node").groupBy("query_id", "doc_id").agg(F.sum("x").alias("s"))
         spread = by_doc.join(inc, "doc_id").groupBy("query_id", "node").agg(F.sum("s").alias("m"))
         back = walking.select("query_id", "node", (-F.col("df") * F.col("x")).alias("m"))
-        restart = seed.join(dangling, "query_id").select("query_id", "node", (F.col("mass") * (1 - damping + damping * F.col("lost"))).alias("m"))
-        moved = spread.unionAll(back).select("query_id", "node", (F.col("m") * damping).alias("m")).unionAll(restart)
+        restart = seed.join(dangling, "query_id").select("query_id", "node", (F.col("mass") * (damping + (1 - damping) * F.col("lost"))).alias("m"))
+        moved = spread.unionAll(back).select("query_id", "node", (F.col("m") * (1 - damping)).alias("m")).unionAll(restart)
         new = saved(moved.groupBy("query_id", "node").agg(F.sum("m").alias("mass")))
         total = new.groupBy("query_id").agg(F.sum("mass").alias("t"))
-        new = new.join(total, "query_id").select("query_id", "node", (F.col("mass") / F.col("t")).alias("mass"))
-        if tolerance and (i + 1) % every == 0:
-            change = new.alias("a").join(rank.alias("b"), ["query_id", "node"], "full").groupBy("query_id").agg(F.sum(F.abs(F.coalesce("a.mass", F.lit(0.0)) - F.coalesce("b.mass", F.lit(0.0)))).alias("d"))
-            if change.where(F.col("d") >= tolerance).isEmpty():
-                return new
+        new = saved(new.join(total, "query_id").select("query_id", "node", (F.col("mass") / F.col("t")).alias("mass")))
+        change = new.alias("a").join(rank.alias("b"), ["query_id", "node"], "full").groupBy("query_id").agg(F.sum(F.abs(F.coalesce("a.mass", F.lit(0.0)) - F.coalesce("b.mass", F.lit(0.0)))).alias("d"))
+        ended = saved(change.where(F.col("d") < tolerance).select("query_id"))
         rank = new
-    return rank
+        if not ended.isEmpty():
+            over = new.join(ended, "query_id", "left_semi")
+            done = over if done is None else done.unionAll(over)
+            rank, seed = saved(new.join(ended, "query_id", "left_anti")), saved(seed.join(ended, "query_id", "left_anti"))
+            if rank.isEmpty():
+                return done
+    return rank if done is None else done.unionAll(rank)
+
+
+def retrieve(inc: DataFrame, seed: DataFrame, k: int, mean: bool = False, damping: float = 0.5, rounds: int = 50, tolerance: float = 1e-10, most_edges: int = MOST_EDGES) -> DataFrame:
+    """(query_id, doc_id, score, rank) of the walk from the seeds: documents by the summed (or mean) mass of their entities."""
+    inc, seed = saved(inc), saved(seed)
+    kinds = dict(seed.dtypes) | dict(inc.dtypes)
+    if inc.count() > most_edges:
+        return score_documents(inc, pagerank(inc, nodes(inc), seed, damping, rounds, tolerance, most_edges), k, mean)
+
+    def best(walker: Walker, ids: pa.Array, rank: np.ndarray) -> pa.Table:
+        scores = walker.by_document(rank)
+        if mean:
+            scores /= np.diff(np.append(walker.doc_start, len(walker.node_of)))[:, None]
+        at, who = np.nonzero((scores > 0) & (scores.round(9) >= np.sort(scores.round(9), axis=0)[-min(k, len(scores))]))
+        return pa.table({"query_id": ids.take(pa.array(who)), "doc_id": walker.docs.take(pa.array(at)), "score": scores[at, who]})
+
+    return top_k(_walked(inc, seed, damping, rounds, tolerance, best, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"), k)
 
 
 def score_documents(inc: DataFrame, rank: DataFrame, k: int, mean: bool = False) -> DataFrame:
     """Documents by the summed (or mean) mass of their entities."""
-    how = F.avg if mean else F.sum
     if mean:
         sizes = inc.groupBy("doc_id").agg(F.count("*").alias("size"))
         scored = inc.join(rank, "node").groupBy("query_id", "doc_id").agg(F.sum("mass").alias("s")).join(sizes, "doc_id").select("query_id", "doc_id", (F.col("s") / F.col("size")).alias("score"))
     else:
-        scored = inc.join(rank, "node").groupBy("query_id", "doc_id").agg(how("mass").alias("score"))
+        scored = inc.join(rank, "node").groupBy("query_id", "doc_id").agg(F.sum("mass").alias("score"))
     return top_k(scored.where("score > 0"), k)
 
 
@@ -91,3 +187,37 @@ def sharing(inc: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = inc.groupBy("doc_id").agg(F.collect_set("node").alias("nodes"))
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("nodes").alias(f"n_{c}")) for c in "ab")
     return pairs.join(left, "a", "left").join(right, "b", "left").select("a", "b", F.coalesce(F.arrays_overlap("n_a", "n_b"), F.lit(False)).alias("shares"))
+
+
+def random_pair_rates(inc: DataFrame, pairs: int, rounds: int = 1000, seed: int = 20260820) -> tuple[list[str], DataFrame]:
+    """Sorted ids, and (round, a, b) drawn as random.Random(seed).sample(ids, 2) for `pairs` pairs in each round."""
+    ids = sorted(r.doc_id for r in inc.select("doc_id").distinct().collect())
+    rng = random.Random(seed)
+    rows = [(i, *rng.sample(ids, 2)) for i in range(rounds) for _ in range(pairs)] if len(ids) >= 2 else []
+    kind = dict(inc.dtypes)["doc_id"]
+    return ids, inc.sparkSession.createDataFrame(rows, f"round int, a {kind}, b {kind}")
+
+
+def reachability(inc: DataFrame, gold_pairs: DataFrame, rounds: int = 1000, seed: int = 20260820) -> DataFrame:
+    """(gold_pairs_scored, observed_share_rate, random_pair_rate_p95, random_pair_median, passed): do documents of one query share entities more often than random pairs?
+
+    Pairs with a document that has no entities row don't count. The judged pairs bound what is drawn on the driver.
+    """
+    known = inc.select("doc_id").distinct()
+    scored = gold_pairs.join(known.withColumnRenamed("doc_id", "a"), "a", "left_semi").join(known.withColumnRenamed("doc_id", "b"), "b", "left_semi")
+    n, hits = sharing(inc, scored).agg(F.count("*"), F.count_if("shares")).first()
+    observed = hits / n if n else 0.0
+    _, drawn = random_pair_rates(inc, n, rounds, seed) if n else ([], None)
+    rates = []
+    if drawn is not None:
+        shares = sharing(inc, drawn.select("a", "b").distinct())
+        rates = sorted(r.rate for r in drawn.join(shares, ["a", "b"]).groupBy("round").agg(F.avg(F.col("shares").cast("double")).alias("rate")).collect())
+    top = upper_percentile(np.array(rates)) if rates else 0.0
+    middle = float(np.median(rates)) if rates else 0.0
+    return inc.sparkSession.createDataFrame([(n, observed, top, middle, bool(n) and observed > top)], "gold_pairs_scored long, observed_share_rate double, random_pair_rate_p95 double, random_pair_median double, passed boolean")
+
+
+def titles_as_entities(docs: DataFrame, titles: DataFrame) -> DataFrame:
+    """Distinct (doc_id, node): the titles whose whole token run stands in the document's text; titles(title) are joined on their first tokens, then verified."""
+    named = titles.select(T.node(F.col("title")).alias("node")).where("node <> ''").distinct()
+    return contained_runs(docs, named.select(F.col("node").alias("query_id"), F.col("node").alias("text"))).select("doc_id", F.col("query_id").alias("node")).distinct()

@@ -6,20 +6,25 @@ adds them up can't change a ranking.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import scoring as S
 from siftwell.functions import text as T
+from siftwell.plans.lineage import positions, saved, small
+from siftwell.sources import files
 
 CELLS = [(bool(m & 1), bool(m & 2), bool(m & 4)) for m in range(8)]
 LADDER = [0, 1, 3, 7]
-#: Query vectors that are sent to the executors at once.
-QUERY_BLOCK = 4096
+#: Bytes of query vectors that are sent to the executors at once.
+QUERY_BYTES = 64 << 20
 
 
 def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -29,25 +34,67 @@ def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 class Index:
-    """Postings with document lengths, document frequencies, and the corpus's size and mean length."""
+    """Postings with document lengths, document frequencies, and the corpus's size and mean length.
+
+    Built from docs(doc_id, text), or read from a folder that `store` wrote; a stored index is read by term.
+    """
+
+    BUCKETS = 64
 
     def __init__(self, docs: DataFrame):
         each = docs.select("doc_id", T.tokens(F.col("text")).alias("terms"))
         self.lengths = each.select("doc_id", F.size("terms").cast("long").alias("length"))
-        self.postings = each.select("doc_id", F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+        self.tokens = each.select("doc_id", F.size("terms").cast("long").alias("length"), F.explode("terms").alias("term"))
+        self.postings = self.tokens.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
         self.df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         self.stats = self.lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average"))
+        self.path = None
+
+    @staticmethod
+    def _bucket(term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(Index.BUCKETS)).cast("int")
+
+    def store(self, path: str) -> Index:
+        """Writes postings by bucket of term and sorted by term, lengths, df and stats below path, and gives the index that reads them."""
+        rows = self.postings.withColumn("bucket", self._bucket(F.col("term")))
+        rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("term", F.lit(1)), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        self.lengths.write.parquet(f"{path}/lengths")
+        stored = Index.load(self.lengths.sparkSession, path, False)
+        stored.postings.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/df")
+        self.stats.write.parquet(f"{path}/stats")
+        return Index.load(self.lengths.sparkSession, path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, whole: bool = True) -> Index:
+        index = Index.__new__(Index)
+        index.path, index.tokens = path, None
+        index.postings, index.lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+        if whole:
+            index.df, index.stats = spark.read.parquet(f"{path}/df"), spark.read.parquet(f"{path}/stats")
+        return index
 
     def idf(self) -> DataFrame:
         return self.df.crossJoin(F.broadcast(self.stats)).withColumn("idf", S.idf(F.col("n"), F.col("df")))
 
+    def wanted(self, terms: DataFrame) -> DataFrame:
+        """The postings of terms(term); tokens that nobody wants are dropped before they are counted."""
+        if self.path is None:
+            return self.tokens.join(small(terms), "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+        known = small(terms.withColumn("bucket", self._bucket(F.col("term"))))
+        buckets = [r.bucket for r in known.select("bucket").distinct().collect()]
+        return self.postings.where(F.col("bucket").isin(buckets)).join(known, ["bucket", "term"], "left_semi").select("doc_id", "length", "term", "tf")
+
     def matches(self, queries: DataFrame) -> DataFrame:
         """A row for each query, document and distinct shared term, with tf, idf and norm."""
-        terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-        wanted = self.postings.join(terms.select("term").distinct(), "term", "left_semi")
-        # df of the wanted terms only, from the postings that stay
-        df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-        rows = wanted.join(df, "term").crossJoin(F.broadcast(self.stats)).join(terms, "term")
+        terms = saved(queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")))
+        wanted = self.wanted(terms.select("term").distinct())
+        if self.path is None:
+            wanted = saved(wanted)
+            df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+        else:
+            df = self.df.join(small(terms.select("term").distinct()), "term", "left_semi")
+        # the queries' terms are sent to the postings, so a term in every document shuffles nothing
+        rows = wanted.join(small(terms.join(df, "term")), "term").crossJoin(F.broadcast(self.stats))
         return rows.select("query_id", "doc_id", "tf", S.idf(F.col("n"), F.col("df")).alias("idf"), S.length_norm(F.col("length"), F.col("average")).alias("norm"))
 
 
@@ -72,19 +119,55 @@ def factorial_runs(index: Index, queries: DataFrame, k: int) -> DataFrame:
     return long.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _grams(text: str, n: int) -> Column:
+    return F.expr(f"array_distinct(transform(sequence(1, length({text}) - {n - 1}), i -> substring({text}, i, {n})))")
+
+
+def runs_with(runs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(run, term, places) of distinct runs(run) that hold terms(term): joined on the term's rarest gram of three letters, or of all its one or two."""
+    out = []
+    for n in (1, 2, 3):
+        own = terms.where(F.length("term") == n if n < 3 else F.length("term") >= 3)
+        in_runs = runs.where(F.length("run") >= n).select("run", F.explode(_grams("run", n)).alias("gram"))
+        in_terms = own.select("term", F.explode(_grams("term", n)).alias("gram"))
+        often = in_runs.join(small(in_terms.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("runs"))
+        # a term with a gram that no run has is in none
+        rarest = in_terms.join(often, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("runs", F.lit(0)), "gram")).alias("gram"))
+        met = in_runs.join(small(rarest), "gram").where(F.contains("run", "term"))
+        out.append(met.select("run", "term", T.places(F.col("run"), F.col("term")).alias("places")))
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+def contained_runs(docs: DataFrame, queries: DataFrame, head: int = 4) -> DataFrame:
+    """(query_id, doc_id): documents with the query's whole run of tokens; joined on hashes of the first `head` tokens, then verified."""
+    q = saved(queries.select("query_id", T.tokens(F.col("text")).alias("q")).where(F.size("q") > 0).withColumn("of", F.least(F.size("q"), F.lit(head))))
+    d = docs.select("doc_id", T.tokens(F.col("text")).alias("d"))
+    hashed = lambda c, i, n: F.xxhash64(*[F.get(c, i + j) for j in range(n)])
+    found = None
+    for n in sorted(r.of for r in q.select("of").distinct().collect()):
+        heads = q.where(F.col("of") == n).select("query_id", hashed(F.col("q"), F.lit(0), n).alias("h"))
+        grams = F.transform(F.sequence(F.lit(0), F.size("d") - n), lambda i: hashed(F.col("d"), i, n))  # noqa: B023
+        met = d.where(F.size("d") >= n).select("doc_id", F.explode(grams).alias("h")).join(small(heads), "h").select("query_id", "doc_id").distinct()
+        found = met if found is None else found.unionAll(met)
+    if found is None:
+        return docs.join(queries, F.lit(False)).select("query_id", "doc_id")
+    pairs = small(found.join(q, "query_id"))
+    return d.join(pairs, "doc_id").where(T.run_inside(F.col("q"), F.col("d"))).select("query_id", "doc_id").distinct()
+
+
 def coordination_hits(docs: DataFrame, queries: DataFrame, bounded: bool = True) -> DataFrame:
     """(query_id, doc_id, matched, total): distinct query terms in the document, and their places."""
-    terms = queries.select("query_id", F.explode(T.query_terms(F.col("text"))).alias("term"))
+    terms = saved(queries.select("query_id", F.explode(T.query_terms(F.col("text"))).alias("term")))
     distinct = terms.select("term").distinct()
     if bounded:
-        words = docs.select("doc_id", F.explode(T.unicode_words(F.col("text"))).alias("term")).join(distinct, "term", "left_semi")
+        words = docs.select("doc_id", F.explode(T.unicode_words(F.col("text"))).alias("term")).join(small(distinct), "term", "left_semi")
         counts = words.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
     else:
         # a term stands within one run of letters and digits, so terms are sought in the distinct runs, not in the texts
-        runs = docs.select("doc_id", F.explode(T.runs(F.col("text"))).alias("run")).groupBy("doc_id", "run").agg(F.count("*").alias("n"))
-        inside = runs.select("run").distinct().crossJoin(distinct).where(F.contains("run", "term")).select("run", "term", T.places(F.col("run"), F.col("term")).alias("places"))
-        counts = runs.join(inside, "run").groupBy("doc_id", "term").agg(F.sum(F.col("n") * F.col("places")).alias("n"))
-    return counts.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("matched"), F.sum("n").alias("total"))
+        runs = saved(docs.select("doc_id", F.explode(T.runs(F.col("text"))).alias("run")).groupBy("doc_id", "run").agg(F.count("*").alias("n")))
+        inside = runs_with(runs.select("run").distinct(), distinct)
+        counts = runs.join(small(inside), "run").groupBy("doc_id", "term").agg(F.sum(F.col("n") * F.col("places")).alias("n"))
+    return counts.join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("matched"), F.sum("n").alias("total"))
 
 
 def coordination(docs: DataFrame, queries: DataFrame, k: int, bounded: bool = True) -> DataFrame:
@@ -92,47 +175,57 @@ def coordination(docs: DataFrame, queries: DataFrame, k: int, bounded: bool = Tr
     return top_k(hits, k, F.desc("matched"), F.desc("total"), F.col("doc_id"))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact cosine of every query to every vector. vectors(doc_id, embedding), queries(query_id, embedding).
+def usable(vector: Column) -> Column:
+    """Whether a vector can be compared: not null, not empty, and without null or non-finite components."""
+    return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
 
-    Queries go out in blocks of QUERY_BLOCK; each task keeps its best k of each query, so
-    what is shuffled depends on tasks, queries and k only.
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int, most_bytes: int = QUERY_BYTES) -> DataFrame:
+    """Exact cosine of every query to every vector of its length. vectors(doc_id, embedding), queries(query_id, embedding).
+
+    Vectors that are not usable are in no ranking, and such queries have none. Queries go out in loads of `most_bytes`,
+    each of which reads the vectors once; a task keeps its best k of each query for each block of vectors, so what is
+    shuffled depends on blocks, queries and k only.
     """
     kinds = [dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["doc_id"]]
-    rows = queries.select("query_id", S.unit(F.col("embedding")).alias("u")).toLocalIterator()
-    out, block = None, []
-
-    def near(block: list) -> DataFrame:
-        ids, q = pa.array([r.query_id for r in block]), np.array([r.u for r in block])
+    schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+    rows = queries.where(usable(F.col("embedding"))).select("query_id", S.unit(F.col("embedding")).alias("u")).toLocalIterator()
+    targets = vectors.where(usable(F.col("embedding"))).select("doc_id", S.unit(F.col("embedding")).alias("u"))
+
+    def near(load: dict[int, list]) -> DataFrame:
+        blocks = {dim: (pa.array([i for i, _ in own]), np.array([u for _, u in own])) for dim, own in load.items()}
+
+        def best(ids: pa.Array, q: np.ndarray, docs: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+            sims = q @ x.T
+            place = sims.round(9)
+            if k < len(x):
+                # ties at the edge stay: an id decides between them
+                edge = np.partition(place, len(x) - k, axis=1)[:, len(x) - k]
+                who, where = np.nonzero(place >= edge[:, None])
+            else:
+                who, where = (i.ravel() for i in np.indices(sims.shape))
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(who)), docs.take(pa.array(where)), pa.array(sims[who, where])], names=["query_id", "doc_id", "score"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                for low in range(0, len(x), 8192):
-                    sims = q @ x[low : low + 8192].T
-                    at = np.argsort(-sims.round(9), axis=1, kind="stable")
-                    docs = batch.column(0).slice(low, sims.shape[1])
-                    if (m := min(k, sims.shape[1])) < sims.shape[1]:
-                        # ties at the edge stay: an id decides between them
-                        edge = np.take_along_axis(sims.round(9), at[:, m - 1 : m], 1)
-                        who, where = np.nonzero(sims.round(9) >= edge)
-                    else:
-                        who, where = np.nonzero(np.ones_like(sims, bool))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), docs.take(pa.array(where)), pa.array(sims[who, where])], names=["query_id", "doc_id", "score"])
-
-        return vectors.select("doc_id", S.unit(F.col("embedding")).alias("u")).mapInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
-
+                sizes = pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+                for dim in np.intersect1d(np.unique(sizes), list(blocks)):
+                    own = pa.array(np.flatnonzero(sizes == dim))
+                    docs, x = batch.column(0).take(own), batch.column(1).take(own).flatten().to_numpy().reshape(-1, dim)
+                    ids, q = blocks[dim]
+                    for first in range(0, len(q), 512):
+                        for low in range(0, len(x), 8192):
+                            yield best(ids.slice(first, 512), q[first : first + 512], docs.slice(low, 8192), x[low : low + 8192])
+
+        return targets.mapInArrow(run, schema)
+
+    out, load, held = vectors.sparkSession.createDataFrame([], schema), {}, 0
     for r in rows:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            out, block = near(block) if out is None else out.unionAll(near(block)), []
-    if block or out is None:
-        if not block:
-            return vectors.limit(0).select(F.lit(None).cast(kinds[0]).alias("query_id"), "doc_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-        out = near(block) if out is None else out.unionAll(near(block))
-    return top_k(out, k)
+        load.setdefault(len(r.u), []).append((r.query_id, r.u))
+        held += 8 * len(r.u)
+        if held >= most_bytes:
+            out, load, held = out.unionAll(near(load)), {}, 0
+    return top_k(out.unionAll(near(load)) if load else out, k)
 
 
 def fuse(*runs: DataFrame, k: int, rrf_k: int = S.RRF_K) -> DataFrame:
@@ -143,6 +236,99 @@ def fuse(*runs: DataFrame, k: int, rrf_k: int = S.RRF_K) -> DataFrame:
     return top_k(every.groupBy("query_id", "doc_id").agg(F.sum(S.rrf(F.col("rank"), rrf_k)).alias("score")), k)
 
 
+class Arm(Protocol):
+    """A ranker: at most k documents a query."""
+
+    def __call__(self, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame: ...
+
+
+class Encoder(Protocol):
+    """Turns texts into vectors; `name` tells cached vectors of one encoder from those of another."""
+
+    name: str
+    dim: int
+
+    def documents(self, texts: DataFrame) -> DataFrame:
+        """(doc_id, embedding) of texts(doc_id, text)."""
+
+    def queries(self, texts: DataFrame) -> DataFrame:
+        """(query_id, embedding) of texts(query_id, text)."""
+
+
+class HashedWords:
+    """The default encoder, without a model: counts of tokens in hashed places, with signs, and a prefix for queries only."""
+
+    def __init__(self, dim: int = 64, prefix: str | None = None):
+        self.dim, self.prefix, self.name = dim, prefix, f"hashed-words-{dim}-{prefix or ''}"
+
+    def _encode(self, texts: DataFrame, key: str, text: Column) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = np.zeros((batch.num_rows, self.dim))
+                places, hashes = batch.column(1), batch.column(1).flatten().to_numpy()
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
+                np.add.at(out, (owner, (hashes >> 1) % self.dim), np.where(hashes & 1, 1.0, -1.0))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * self.dim), pa.array(out.ravel()))], names=[key, "embedding"])
+
+        rows = texts.select(key, F.transform(T.tokens(text), lambda t: F.xxhash64(t)).alias("h"))
+        return rows.mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, embedding array<double>")
+
+    def documents(self, texts: DataFrame) -> DataFrame:
+        return self._encode(texts, "doc_id", F.col("text"))
+
+    def queries(self, texts: DataFrame) -> DataFrame:
+        return self._encode(texts, "query_id", T.prefixed(F.col("text"), self.prefix))
+
+
+def checked(vectors: DataFrame, dim: int) -> DataFrame:
+    """vectors, if all of them have that length; otherwise it raises."""
+    wrong = vectors.where(F.coalesce(F.size("embedding"), F.lit(-1)) != dim).limit(1).collect()
+    if wrong:
+        raise ValueError(f"an encoder of {dim} dimensions gave {wrong[0]}")
+    return vectors
+
+
+def dense_arm(encoder: Encoder, cache: str | None = None, shuffle: int | None = None) -> Arm:
+    """Exact cosine over the encoder's vectors; those of a corpus are kept below `cache` by encoder and content. With `shuffle`, a seed, every document has another's vector."""
+
+    def arm(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        vectors = encoder.documents(docs)
+        if cache:
+            vectors = files.cached(vectors, cache, f"{hashlib.sha256(encoder.name.encode()).hexdigest()[:16]}-{files.corpus_fingerprint(docs)}")
+        vectors = checked(vectors, encoder.dim)
+        if shuffle is not None:
+            ids = positions(vectors.select("doc_id"), "doc_id")
+            dealt = positions(vectors.select("doc_id", "embedding"), F.xxhash64("doc_id", F.lit(shuffle)), "doc_id")
+            vectors = ids.join(dealt.select("place", "embedding"), "place").select("doc_id", "embedding")
+        return dense(vectors, checked(encoder.queries(queries), encoder.dim), k)
+
+    return arm
+
+
+def lexical_arm(use_idf: bool = True, saturation: bool = True, use_length: bool = True) -> Arm:
+    return lambda docs, queries, k: lexical(Index(docs), queries, k, use_idf, saturation, use_length)
+
+
+def coordination_arm(bounded: bool = True) -> Arm:
+    return lambda docs, queries, k: coordination(docs, queries, k, bounded)
+
+
+def hybrid_arm(*arms: Arm, rrf_k: int = S.RRF_K, candidate_k: int = 100) -> Arm:
+    """Reciprocal rank fusion; each arm is asked for candidate_k documents at least."""
+    return lambda docs, queries, k: fuse(*[arm(docs, queries, max(k, candidate_k)) for arm in arms], k=k, rrf_k=rrf_k)
+
+
+def cell_name(mask: int) -> str:
+    """The name of a cell of the factorial: its mechanisms in the ladder's order, none for the plain one."""
+    return "+".join(n for n, on in zip(("idf", "tf_saturation", "length_norm"), CELLS[mask], strict=True) if on) or "none"
+
+
+def anchor(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """BM25 without stop words on either side, as an outside anchor; words are not stemmed here."""
+    kept = lambda df: df.withColumn("text", F.array_join(F.filter(T.tokens(F.col("text")), lambda x: ~x.isin(T.STOPWORDS)), " "))
+    return lexical(Index(kept(docs)), kept(queries), k)
+
+
 def strictly_decreasing(run: DataFrame) -> DataFrame:
     """Scores lowered by a billionth a place, so that ties fall strictly."""
     return run.withColumn("score", F.col("score") - (F.col("rank") - 1) * 1e-9)

@@ -70,13 +70,32 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("query_id", "doc_id", (F.col("n") - F.col("at")).cast("double").alias("score"), (F.col("at") + 1).alias("rank"))
 
 
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, doc_id, rel) of the gold ids that write_run stored."""
+    return spark.read.schema("query_id string, gold array<string>").json(path).select("query_id", F.explode("gold").alias("doc_id"), F.lit(1).alias("rel"))
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines below path, in place of what was there: written beside it first, then moved, so a failure leaves the rows before."""
+    spark = rows.sparkSession
+    target, beside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.new"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows.write.mode("overwrite").json(f"{path.rstrip('/')}.new")
+    fs.delete(target, True)
+    if not fs.rename(beside, target):
+        raise OSError(f"{path} could not be put in place")
+
+
 def cached(df: DataFrame, path: str, key: str) -> DataFrame:
-    """df kept as parquet under a key, computed only if it isn't there."""
+    """df kept as parquet under a key, computed only if it isn't there; what is there must have df's columns."""
     spark, at = df.sparkSession, f"{path.rstrip('/')}/{key}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         df.write.mode("overwrite").parquet(at)
-    return spark.read.parquet(at)
+    kept = spark.read.parquet(at)
+    if kept.dtypes != df.dtypes:
+        raise ValueError(f"{at} holds {kept.dtypes}, not {df.dtypes}")
+    return kept
 
 
 def corpus_fingerprint(docs: DataFrame) -> str:
