@@ -26,7 +26,7 @@ def unicode_words(text: Column) -> Column:
 
 
 def bounded_count(text: Column, term: str) -> Column:
-    """Places where a literal stands word-bounded, in either case; what unicode_words is tested against."""
+    """Places where a literal stands word-bounded, in either case; what unicode_words is tested against, but for a capital I with a dot, which this takes for an i and whole words don't."""
     return F.regexp_count(text, F.lit(rf"(?iU)(?<!\w)\Q{term}\E(?!\w)"))
 
 
@@ -75,7 +75,7 @@ def run_inside(inner: Column, outer: Column) -> Column:
 
 
 def comma_list(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def prefixed(text: Column, prefix: str | None) -> Column:

@@ -310,7 +310,8 @@ def lexical_arm(use_idf: bool = True, saturation: bool = True, use_length: bool
 
 
 def coordination_arm(bounded: bool = True) -> Arm:
-    return lambda docs, queries, k: coordination(docs, queries, k, bounded)
+    score = F.col("matched") + F.col("total") / (F.col("total") + 1)
+    return lambda docs, queries, k: coordination(docs, queries, k, bounded).select("query_id", "doc_id", score.alias("score"), "rank")
 
 
 def hybrid_arm(*arms: Arm, rrf_k: int = S.RRF_K, candidate_k: int = 100) -> Arm:
