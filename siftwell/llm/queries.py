@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import decontamination, embeddings, licenses, lm, mixing, resampling, secrets, simhash, toxicity, warc
+from siftwell.llm.oracles import oracle_sql  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,7 +74,3 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
