@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +144,29 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(float)
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vec_id, label, unit) of (vec_id, label, v): vectors over their norm, after division by their largest component; null for those that link with nothing."""
+    for batch in batches:
+        label, v = batch.column(1), batch.column(2)
+        flat, sizes = v.flatten(), pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+        x = flat.to_numpy(zero_copy_only=False).astype(float)  # null is NaN
+        fine = np.flatnonzero(sizes > 0)
+        starts = (np.cumsum(sizes) - sizes)[fine]
+        unit, usable = np.zeros(0), np.zeros(len(sizes), bool)
+        if len(fine):
+            with np.errstate(all="ignore"):
+                largest = np.maximum.reduceat(np.abs(x), starts)
+                usable[fine] = np.isfinite(largest) & (largest > 0)
+                scaled = x / np.repeat(largest, sizes[fine])
+                norm = np.sqrt(np.add.reduceat(scaled * scaled, starts))
+                unit = scaled / np.repeat(norm, sizes[fine]) + 0.0  # no negative zeros
+        usable &= ~np.asarray(label.is_null())
+        kept = np.repeat(usable, sizes)
+        ends = np.concatenate([[0], np.cumsum(np.where(usable, sizes, 0))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(unit[kept[: len(unit)]]), mask=pa.array(~usable))
+        yield pa.RecordBatch.from_arrays([batch.column(0), label, lists], names=["vec_id", "label", "unit"])
+
+
 def _padded(column: pa.ChunkedArray) -> np.ndarray:
     """Lists of longs as rows, filled up with -1."""
     lists = [v or [] for v in column.to_pylist()]
@@ -210,13 +234,13 @@ def shards(classes: DataFrame, overlap: int = 3, shard: int = SHARD, salt: int =
     for level in range(5):
         big = cells.groupBy(*KEYS).agg(F.count("*").alias("cell")).where(F.col("cell") > 2 * shard)
         # a piece has four times as many rows as the cell has pivots, PIECE at least
-        drawn = F.least(F.col("cell") * F.lit(2.0 / shard), F.lit(float(most_pivots)))
+        drawn = F.least(F.col("cell") * F.lit(4.0 / shard), F.lit(float(most_pivots)))
         big = saved(big.select(*KEYS, "cell", F.ceil(F.col("cell") / F.greatest(F.lit(float(PIECE)), 4 * drawn)).alias("pieces")))
         if big.isEmpty():
             break
         crowd = cells.join(big, KEYS)
         draw = F.pmod(F.xxhash64("cls", "shard", F.lit(salt), F.lit(level)), F.lit(1 << 30)) / float(1 << 30)
-        pivots = crowd.where(draw < F.least(F.lit(2.0 / shard), most_pivots / F.col("cell"))).select(*[F.col(c).alias(c) for c in KEYS], F.col("unit").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+        pivots = crowd.where(draw < F.least(F.lit(4.0 / shard), most_pivots / F.col("cell"))).select(*[F.col(c).alias(c) for c in KEYS], F.col("unit").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
         dealt = crowd.select(*[F.col(c).alias(c) for c in cells.columns], F.pmod(F.xxhash64("cls", F.lit(salt)), F.col("pieces")).alias("piece"))
 
         def split(key: tuple, rows: pa.Table, near: pa.Table) -> pa.Table:
@@ -284,16 +308,11 @@ def audit(classes: DataFrame, counts: DataFrame, least: float = 0.98, most: int
     return tuple(there.join(counts, "cls", "left").agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("there"), F.lit(0))).first())
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, overlap: int = 3, recall: float = 0.9, shard: int = SHARD, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, overlap: int = 2, recall: float = 0.9, shard: int = SHARD, most_pivots: int = MOST_PIVOTS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    largest = F.array_max(F.transform("v", F.abs))
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), v.alias("v")).withColumn("largest", largest)
-    # NaN is the largest of all
-    usable = F.coalesce((F.col("largest") > 0) & (F.col("largest") < float("inf")) & ~F.exists("v", F.isnull) & F.col("label").isNotNull(), F.lit(False))
-    scaled = rows.withColumn("v", F.when(usable, F.transform("v", lambda x: x / F.col("largest"))))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = scaled.withColumn("norm", norm).withColumn("unit", F.transform("v", lambda x: x / F.col("norm") + F.lit(0.0))).drop("v", "norm", "largest")
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    ids, labels = (rows.schema[c].dataType.simpleString() for c in ("vec_id", "label"))
+    rows = rows.mapInArrow(_units, f"vec_id {ids}, label {labels}, unit array<double>")
     for seed in range(9):
         keyed = saved(rows.withColumn("cls", F.when(F.col("unit").isNotNull(), F.xxhash64("label", "unit", F.lit(seed)))))
         one = [F.min("vec_id").alias("least"), F.count("*").alias("size"), *[f(c).alias(f"{n}_{c}") for c in ("label", "unit") for f, n in ((F.min, "low"), (F.max, "high"))]]
