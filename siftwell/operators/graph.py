@@ -10,7 +10,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,45 +57,46 @@ class Walker:
         self.degree = np.add.reduceat(np.bincount(d, minlength=len(self.docs))[self.doc_of], self.node_start) - self.df if len(n) else self.df
 
     def by_document(self, x: np.ndarray) -> np.ndarray:
-        """Sums of the rows of x [nodes, queries] over each document's nodes."""
+        """Sums of x, a value for each node, over each document's nodes."""
         return np.add.reduceat(x[self.node_of], self.doc_start)
 
     def walk(self, restart: np.ndarray, damping: float, rounds: int, tolerance: float) -> np.ndarray:
-        """Masses [nodes, queries]; each query ends by itself."""
-        dangling = self.degree <= 0
-        share = np.where(dangling, 0.0, 1 / np.where(dangling, 1.0, self.degree))[:, None]
-        rank, active = restart.copy(), np.arange(restart.shape[1])
+        """The masses of one query."""
+        dangling = np.flatnonzero(self.degree <= 0)
+        share = np.where(self.degree <= 0, 0.0, 1 / np.where(self.degree <= 0, 1.0, self.degree))
+        rank = restart
         for _ in range(rounds):
-            now, home = rank[:, active], restart[:, active]
-            x = now * share
-            spread = np.add.reduceat(self.by_document(x)[self.doc_of], self.node_start) - self.df[:, None] * x + now[dangling].sum(0) * home
-            new = damping * home + (1 - damping) * spread
-            new /= new.sum(0)
-            rank[:, active] = new
-            active = active[np.abs(new - now).sum(0) >= tolerance]
-            if not len(active):
+            x = rank * share
+            spread = np.add.reduceat(self.by_document(x)[self.doc_of], self.node_start) - self.df * x + rank[dangling].sum() * restart
+            new = damping * restart + (1 - damping) * spread
+            new /= new.sum()
+            rank, change = new, np.abs(new - rank).sum()
+            if change < tolerance:
                 break
         return rank
 
 
-#: Edges of a graph that is sent to the executors, and the masses (nodes times queries) that a task walks at once.
-MOST_EDGES, MASSES = 1 << 22, 1 << 22
+#: Edges of a graph that is sent to the executors, and queries that a task walks.
+MOST_EDGES, QUERIES = 1 << 22, 8
 
 
 def _walked(inc: DataFrame, seed: DataFrame, damping: float, rounds: int, tolerance: float, give, schema: str) -> DataFrame:
-    """What give(walker, query ids, masses) says of blocks of queries, over a graph of bounded size."""
+    """What give(walker, masses of a query) says of each query, as columns of schema after query_id, over a graph of bounded size."""
     walker = Walker(inc.select("doc_id", "node").toArrow())
     queries = seed.select("query_id").distinct().count()
-    each = max(1, min(64, MASSES // max(1, len(walker.nodes))))
 
     def block(found: pa.Table) -> pa.Table:
-        ids = pa.compute.unique(found["query_id"])
-        restart = np.zeros((len(walker.nodes), len(ids)))
-        restart[pa.compute.index_in(found["node"], walker.nodes).to_numpy(), pa.compute.index_in(found["query_id"], ids).to_numpy()] = found["mass"].to_numpy()
-        return give(walker, ids, walker.walk(restart, damping, rounds, tolerance))
+        out = []
+        for query in pc.unique(found["query_id"]):
+            own = found.filter(pc.equal(found["query_id"], query))
+            restart = np.zeros(len(walker.nodes))
+            restart[pc.index_in(own["node"], walker.nodes).to_numpy()] = own["mass"].to_numpy()
+            given = give(walker, walker.walk(restart, damping, rounds, tolerance))
+            out.append(given.add_column(0, "query_id", pa.array([query.as_py()] * len(given), found.schema.field("query_id").type)))
+        return pa.concat_tables(out)
 
     known = seed.join(inc.select("node").distinct(), "node", "left_semi").select("query_id", "node", "mass")
-    dealt = known.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(-(-queries // each) or 1)))
+    dealt = known.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries // QUERIES)))))
     return dealt.groupBy("block").applyInArrow(lambda found: block(found), schema)
 
 
@@ -109,9 +110,9 @@ def pagerank(inc: DataFrame, graph: DataFrame, seed: DataFrame, damping: float =
     kinds = {**dict(seed.dtypes), "node": "string"}
     if inc.count() <= most_edges:
 
-        def masses(walker: Walker, ids: pa.Array, rank: np.ndarray) -> pa.Table:
-            at, who = np.nonzero(rank)
-            return pa.table({"query_id": ids.take(pa.array(who)), "node": walker.nodes.take(pa.array(at)), "mass": rank[at, who]})
+        def masses(walker: Walker, rank: np.ndarray) -> pa.Table:
+            at = np.flatnonzero(rank)
+            return pa.table({"node": walker.nodes.take(pa.array(at)), "mass": rank[at]})
 
         return _walked(inc, seed, damping, rounds, tolerance, masses, f"query_id {kinds['query_id']}, node string, mass double")
     return _joined_walk(inc, saved(graph.select("node", "df", "degree")), seed, damping, rounds, tolerance)
@@ -151,12 +152,14 @@ def retrieve(inc: DataFrame, seed: DataFrame, k: int, mean: bool = False, dampin
     if inc.count() > most_edges:
         return score_documents(inc, pagerank(inc, nodes(inc), seed, damping, rounds, tolerance, most_edges), k, mean)
 
-    def best(walker: Walker, ids: pa.Array, rank: np.ndarray) -> pa.Table:
+    def best(walker: Walker, rank: np.ndarray) -> pa.Table:
         scores = walker.by_document(rank)
         if mean:
-            scores /= np.diff(np.append(walker.doc_start, len(walker.node_of)))[:, None]
-        at, who = np.nonzero((scores > 0) & (scores.round(9) >= np.sort(scores.round(9), axis=0)[-min(k, len(scores))]))
-        return pa.table({"query_id": ids.take(pa.array(who)), "doc_id": walker.docs.take(pa.array(at)), "score": scores[at, who]})
+            scores /= np.diff(np.append(walker.doc_start, len(walker.node_of)))
+        place = scores.round(9)
+        # ties at the edge stay: an id decides between them
+        at = np.flatnonzero((scores > 0) & (place >= np.partition(place, len(place) - min(k, len(place)))[len(place) - min(k, len(place))]))
+        return pa.table({"doc_id": walker.docs.take(pa.array(at)), "score": scores[at]})
 
     return top_k(_walked(inc, seed, damping, rounds, tolerance, best, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"), k)
 
