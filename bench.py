@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from siftwell import catalog  # noqa: E402
 from siftwell.operators import retrieval  # noqa: E402
 
-HEADLINE = ["bm25_top10", "factorial_scores", "coordination_top10", "coordination_substring_top10", "dense_top10", "rrf_hybrid_top10", "ndcg_recall_bm25", "mean_metrics_by_arm", "entity_incidence", "node_degrees", "ppr_no_walk_top10", "ppr_top10", "query_properties", "spearman_rho"]
+HEADLINE = ["bm25_top10", "factorial_scores", "coordination_top10", "coordination_substring_top10", "dense_top10", "rrf_hybrid_top10", "ndcg_recall_bm25", "mean_metrics_by_arm", "entity_incidence", "node_degrees", "ppr_no_walk_top10", "query_properties", "spearman_rho"]
 
 
 def main() -> None:
