@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
-from test_scans import bits_of, low, reach
+from test_scans import low, reach, similar_groups
 
 from siftwell.llm import secrets, toxicity
 from siftwell.llm import _text as T
@@ -36,12 +36,9 @@ def brute(spark, sf):
 
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     kept = [[r for r in rows if not toxic(r[1])]]
-    fps = [bits_of(r[1]) for r in kept[0]]
-    distinct = sorted(set(fps))
-    group = reach(distinct, [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (a ^ b).bit_count() <= 2])
     members = defaultdict(list)
-    for r, f in zip(kept[0], fps, strict=True):
-        members[min(group[f])].append(r)
+    for r, g in zip(kept[0], similar_groups([r[1] for r in kept[0]], len(kept[0])), strict=True):
+        members[g].append(r)
     # the smallest id; of equal ids and of groups without any, texts are told apart by a hash: any one of them may stay
     kept.append([m for m in members.values()])
     return rows, kept, [shingles(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

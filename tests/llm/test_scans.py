@@ -6,9 +6,11 @@ import re
 import string
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
+from siftwell.llm import _text as T
 from siftwell.llm import licenses, mixing, queries, secrets, simhash
 from siftwell.llm._spark import components
 
@@ -83,6 +85,85 @@ def test_links_keep_components(spark, bucket):
     assert {f: found.get(signed(f), signed(f)) for f in fps} == {f: min(map(signed, g)) for f, g in group.items()}
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def signature_of(text, longs, k=5):
+    """The long fingerprint as one number, over shingles of the text's own hashes."""
+    raw = (text or "").encode()
+    w = T.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), T.SPACE_WORD)
+    hs = sorted(set(T.shingle_hashes(T.word_hashes(w), w.row, k, 1)[0].tolist()))
+    salts = T.mix(np.arange(1, longs + 1, dtype=np.uint64)).tolist()
+    out = 0
+    for i, salt in enumerate(salts):
+        mixed = [int(T.mix(np.array([h ^ salt], np.uint64))[0]) for h in hs]
+        for b in range(64):
+            ones = sum(m >> b & 1 for m in mixed)
+            if 2 * ones > len(hs) or (hs and 2 * ones == len(hs) and mixed[0] >> b & 1):
+                out |= 1 << 64 * i + b
+    return out
+
+
+def signature_numbers(texts, longs):
+    raw = [(t or "").encode() for t in texts]
+    sig = simhash.signature(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 5, longs)
+    return [sum(int(x) << 64 * i for i, x in enumerate(row)) for row in sig]
+
+
+def similar_groups(texts, rows):
+    """For each text the least fingerprint that it reaches, by comparing all pairs."""
+    shape = simhash.blocks_for(rows)
+    fps = signature_numbers(texts, shape.longs)
+    most = shape.most(shape.longs, 1)
+    distinct = sorted(set(fps))
+    group = reach(distinct, [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (a ^ b).bit_count() <= most])
+    return [min(group[f]) for f in fps]
+
+
+def test_signature():
+    texts = [None, "", "one", "one two three four", "A b c d e f", "the same words and the same words and the same words", "many " * 700 + " ".join(f"w{i}" for i in range(900))]
+    assert signature_numbers(texts, 2) == [signature_of(t, 2) for t in texts]
+
+
+def test_signatures_follow_jaccard():
+    """Texts of known similarity: the share of differing bits is on its side of the limit."""
+    shape = simhash.blocks_for(1000)
+    words = [f"w{i}" for i in range(404)]
+    for changed, near in [(4, True), (8, True), (16, False), (30, False)]:
+        # a new word in the middle of each run changes five shingles of 400
+        other = [f"x{i}" if i % (404 // changed) == 5 and i // (404 // changed) < changed else w for i, w in enumerate(words)]
+        sets = [{tuple(t[i : i + 5]) for i in range(400)} for t in (words, other)]
+        j = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        assert (j >= 0.8) == near
+        a, b = signature_numbers([" ".join(words), " ".join(other)], shape.longs)
+        assert ((a ^ b).bit_count() <= shape.most(shape.longs, 1)) == near
+
+
+def test_similar(spark, odd):
+    for df in both(spark, odd):
+        rows = df.select("doc_id", "text").collect()
+        groups = similar_groups([r.text for r in rows], len(rows))
+        expect = [(r.doc_id, min((x.doc_id for x, h in zip(rows, groups, strict=True) if h == g and x.doc_id is not None), default=None)) for r, g in zip(rows, groups, strict=True)]
+        assert Counter((r.doc_id, r.component_id) for r in simhash.similar(df).collect()) == Counter(expect)
+
+
+@pytest.mark.parametrize("bucket", [1, 5, 1000])
+def test_similar_links_keep_components(spark, bucket):
+    """Groups of copies that differ from a centre, some linked by chains only: the same components however large a bucket may be."""
+    r = random.Random(5)
+    shape = simhash.Blocks(16, 16, 4, 0.15)
+    most, probe = shape.most(4, 1), shape.most(1, 4)
+    centres = [r.getrandbits(256) for _ in range(5)]
+    fps = sorted({c ^ sum(1 << b for b in r.sample(range(256), r.randint(0, 26))) for c in centres for _ in range(30)})
+    blocks = lambda f: {(i, f >> 16 * i & 0xFFFF) for i in range(16)}
+    near = lambda a, b: (a ^ b).bit_count() <= most and ((a ^ b) % (1 << 64)).bit_count() <= probe and blocks(a) & blocks(b)
+    group = reach(range(len(fps)), [(i, j) for i, a in enumerate(fps) for j in range(i) if near(a, fps[j])])
+    df = spark.createDataFrame([(i, [signed(f >> 64 * n & (1 << 64) - 1) for n in range(4)]) for i, f in enumerate(fps)], "node long, sig array<long>")
+    found = {x.node: x.component for x in components(simhash.similar_links(df, shape, bucket, 2)).collect()}
+    assert {i: found.get(i, i) for i in range(len(fps))} == {i: min(g) for i, g in group.items()}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
