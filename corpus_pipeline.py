@@ -1,7 +1,7 @@
 """A corpus pipeline: STAGES over documents, each stage's rows written as Parquet and read again by the next.
 
 toxicity      documents that the classifier rejects go
-simhash       one document of each group of near-duplicates stays, that with the smallest doc_id
+simhash       one document of each group of near-duplicates (five-word shingles, similarity 0.8) stays, that with the smallest doc_id
 contamination documents that hold a benchmark item go
 secrets       spans found are replaced in the text (n_chars follows); all documents stay
 mixing        documents that the mix takes, with the number of copies
@@ -54,7 +54,7 @@ def _is(docs: DataFrame, key: str) -> Column:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs.select(_key().alias("key"), "text"), id_col="key")
+    found = simhash.similar(docs.select(_key().alias("key"), "text"), id_col="key")
     kept_key, kept_text, kept_rest = (_own(docs, c) for c in ("kept_key", "kept_text", "kept_rest"))
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept_key)).distinct()
     rows = docs.join(kept, _is(docs, kept_key), "left_semi")
