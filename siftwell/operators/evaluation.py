@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import scoring as S
 from siftwell.functions import text as T
-from siftwell.plans.lineage import positions
+from siftwell.plans.lineage import positions, small
 
 
 class ControlFailed(AssertionError):
@@ -29,7 +29,7 @@ def metrics(queries: DataFrame, run: DataFrame, qrels: DataFrame, ndcg: tuple[in
 
 def set_recall(queries: DataFrame, hits: DataFrame, qrels: DataFrame) -> DataFrame:
     """Recall over everything matched, before any cut."""
-    got = hits.join(qrels, ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("n"))
+    got = hits.join(small(qrels), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("n"))
     gold = qrels.groupBy("query_id").agg(F.count("*").alias("gold"))
     return queries.select("query_id").join(gold, "query_id").join(got, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) / F.col("gold")).alias("set_recall"))
 

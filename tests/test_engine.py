@@ -17,6 +17,7 @@ from siftwell.operators import evaluation as E
 from siftwell.operators import extraction as X
 from siftwell.operators import graph as G
 from siftwell.operators import pool as P
+from siftwell.operators import matching as M
 from siftwell.operators import retrieval as R
 from siftwell.operators import stats as B
 from siftwell.plans import lineage, runner
@@ -590,3 +591,48 @@ def test_samples(spark):
 
 def test_every_query_is_named_once():
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.queries()) >= 70
+
+
+# scores in the tasks that read the documents
+
+
+def test_best_of_a_task_is_bounded_and_exact(spark):
+    """One partition gives k rows a query and cell, not a row for each document; ties fall by id, also those of many copies."""
+    texts = ["alpha beta", "alpha", "beta beta alpha gamma", "delta", "alpha beta"] * 700
+    rows = [((i * 7919) % 3500, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    queries = spark.createDataFrame([("q", "alpha beta"), ("r", "delta"), ("none", "zzz")], "query_id string, text string")
+    terms = R.query_words(queries)
+    hits, idf, average = R.Index(docs).held(terms)
+    found = M.best(hits, terms, 3, R.cell_scores(R.CELLS, idf, average), 8)
+    assert found.count() == 8 * 2 * 3
+    runs = R.factorial_runs(R.Index(docs), queries, 3).where("mask = 7").collect()
+    for q, text in (("q", "alpha beta"), ("r", "delta")):
+        want = sorted(((-round(s, 9), d) for d, s in bm25(rows, text).items()))[:3]
+        assert [r.doc_id for r in sorted((r for r in runs if r.query_id == q), key=lambda r: r.rank)] == [d for _, d in want]
+    by_place = {(r.query_id, r.rank): (r.doc_id, r.matched, r.total) for r in R.coordination(docs, queries, 3).collect()}
+    both = sorted((d for d, t in rows if t == "beta beta alpha gamma"))[:3]
+    assert [by_place["q", n] for n in (1, 2, 3)] == [(d, 2, 3) for d in both]
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "alpha"), (None, "alpha"), (None, "alpha"), (2, "beta")], "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([("q", "alpha beta")], "query_id string, text string")
+    assert sorted((str(r.doc_id), r.matched, r.total) for r in R.coordination_hits(docs, queries).collect()) == [("1", 2, 3), ("2", 1, 1), ("None", 1, 2)]
+    assert sorted(str(r.doc_id) for r in R.lexical(R.Index(docs), queries, 10).collect()) == ["1", "2", "None"]
+
+
+def test_runs_sent_or_joined_are_the_same(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 11}" for j in range(30)) + " É") for i in range(60)] + [(99, None), (98, "")], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 11}" for j in range(3, 3 + n))) for i in range(11) for n in (1, 2, 3, 5, 9)], "query_id long, text string")
+    sent, joined = (values(R.contained_runs(docs, queries, most=most)) for most in (1 << 17, 0))
+    assert sent == joined and sent
+
+
+def test_long_documents_cross_pieces_of_text(spark):
+    """Texts longer than a task looks at together, and many in one piece."""
+    rows = [(i, "banana " * (M.BYTES // 7 + 10 if i == 1 else i) + "x1") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    queries = spark.createDataFrame([("q", "ana banana x1 1")], "query_id string, text string")
+    got = {r.doc_id: (r.matched, r.total) for r in R.coordination_hits(docs, queries, bounded=False).collect()}
+    assert got == {i: (sum(t.count(w) > 0 for w in ("ana", "banana", "x1", "1")), sum(t.count(w) for w in ("ana", "banana", "x1", "1"))) for i, t in rows}
