@@ -636,3 +636,20 @@ def test_long_documents_cross_pieces_of_text(spark):
     queries = spark.createDataFrame([("q", "ana banana x1 1")], "query_id string, text string")
     got = {r.doc_id: (r.matched, r.total) for r in R.coordination_hits(docs, queries, bounded=False).collect()}
     assert got == {i: (sum(t.count(w) > 0 for w in ("ana", "banana", "x1", "1")), sum(t.count(w) for w in ("ana", "banana", "x1", "1"))) for i, t in rows}
+
+
+def test_walker_sums_edges_in_blocks(monkeypatch):
+    r = np.random.default_rng(3)
+    start = np.concatenate([[0], np.cumsum(r.integers(1, 9, 50))])
+    of, x = r.integers(0, 20, start[-1] + 4), r.random(20)
+    for edges in (1, 3, 7, 1000):
+        monkeypatch.setattr(G.Walker, "EDGES", edges)
+        assert np.allclose(G.Walker.sums(x, of, start), np.add.reduceat(x[of], start))
+
+
+def test_passages_without_an_id_are_not_joined(spark):
+    gold = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a")], "doc_id long, node string")
+    predicted = spark.createDataFrame([(1, "a"), (1, "a"), (2, "c"), (None, "a")], "doc_id long, node string")
+    found = E.passage_counts(gold, predicted)
+    assert {r.doc_id: (r.tp, r.fp, r.fn) for r in found.collect()} == {1: (1, 0, 1), 2: (0, 1, 0), None: (0, 1, 1)}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
