@@ -653,3 +653,13 @@ def test_passages_without_an_id_are_not_joined(spark):
     found = E.passage_counts(gold, predicted)
     assert {r.doc_id: (r.tp, r.fp, r.fn) for r in found.collect()} == {1: (1, 0, 1), 2: (0, 1, 0), None: (0, 1, 1)}
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_draws_dealt_to_tasks_are_those_of_one_stream(spark):
+    """Rounds go over the ends of the parts of the stream; every draw is the one that one task makes."""
+    counts = pd.DataFrame({"doc_id": range(37), "tp": [i % 4 for i in range(37)], "fp": [i % 3 for i in range(37)], "fn": [i % 5 for i in range(37)]})
+    got = {r.metric: (r.low, r.high) for r in B.clustered_intervals(spark.createDataFrame(counts), 50, 7, words=300).collect()}
+    assert got == {m: B.clustered_prf(counts, m, 50, 7) for m in ("precision", "recall")}
+    values = counts[["tp", "fp"]].to_numpy().astype(np.int32)
+    stream = B.Stream(7)
+    assert np.array_equal(B.round_sums(spark, values, 50, 7, words=300), [values[stream.randrange(37, 37)].sum(0) for _ in range(50)])
