@@ -663,3 +663,22 @@ def test_draws_dealt_to_tasks_are_those_of_one_stream(spark):
     values = counts[["tp", "fp"]].to_numpy().astype(np.int32)
     stream = B.Stream(7)
     assert np.array_equal(B.round_sums(spark, values, 50, 7, words=300), [values[stream.randrange(37, 37)].sum(0) for _ in range(50)])
+
+
+def test_properties_weigh_only_the_queries_words(spark, monkeypatch):
+    def refused(self):
+        raise AssertionError("idf of every term of the corpus")
+
+    monkeypatch.setattr(R.Index, "idf", refused)
+    rows = {r.query_id: r for r in catalog._properties(spark, "/root/testdata/sf0.001").collect()}
+    assert rows
+    assert all(r.max_idf >= r.mean_idf > 0 for r in rows.values() if r.query_length)
+
+
+def test_dense_takes_few_queries_at_once(spark, monkeypatch):
+    monkeypatch.setattr(R, "ABREAST", 2)
+    df = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i)]) for i in range(23)], "doc_id long, embedding array<double>")
+    queries = df.withColumnRenamed("doc_id", "query_id")
+    few = values(R.dense(df, queries, 3))
+    monkeypatch.setattr(R, "ABREAST", 512)
+    assert few == values(R.dense(df, queries, 3))
